@@ -73,11 +73,11 @@ def mix(docs: DataFrame) -> DataFrame:
     up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = parts.withColumn("upto", F.sum("part_size").over(up_to)).alias("p").join(goals.alias("g"), F.expr("p.source <=> g.source"))
     # The first part whose end reaches the budget; without one (a budget of 0 included) it is the first.
-    cut = ends.groupBy("g.source", "source_size", "target", "epochs", "budget").agg(
+    ending = ends.groupBy("g.source", "source_size", "target", "epochs", "budget").agg(
         F.min_by(F.struct("p.part", (F.col("upto") - F.col("part_size")).alias("before")), F.when(F.col("upto") >= F.col("budget"), F.col("p.part"))).alias("c")
     )
-    cut = cut.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "budget", F.col("c.part").alias("_part"), F.col("c.before").alias("_before"))
-    rows = d.join(cut, F.expr("source <=> _source"))
+    ending = ending.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "budget", F.col("c.part").alias("_part"), F.col("c.before").alias("_before"))
+    rows = d.join(ending, F.expr("source <=> _source"))
     inner = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.filter("part = _part").withColumn("upto", F.sum("size").over(inner) + F.col("_before"))
     over, under = F.col("upto") - F.col("budget"), F.col("budget") - (F.col("upto") - F.col("size"))
