@@ -6,9 +6,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import chronolex.llm
+
+# Functions of this package go to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(chronolex.llm)
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Symbols of the contracts.

@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import line_dedup, mixing, pieces, quality_rules
+from chronolex.llm import language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_read(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_line_dedup, op7_source_mixing, op9_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_quality_rules, op5_line_dedup, op7_source_mixing, op9_piece_encoding)}
 ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL}
