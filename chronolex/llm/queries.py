@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules
+from chronolex.llm import language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(_read(spark, sf_dir, "documents"))
+
+
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_quality_rules, op5_line_dedup, op7_source_mixing, op9_piece_encoding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op3_language_id,
+        op4_quality_rules,
+        op5_line_dedup,
+        op7_source_mixing,
+        op8_simhash,
+        op9_piece_encoding,
+    )
+}
 ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL}
