@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
+from chronolex.llm import ann, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -50,6 +54,7 @@ QUERIES = {
         op7_source_mixing,
         op8_simhash,
         op9_piece_encoding,
+        op10_prefix_forest,
     )
 }
 ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL}
