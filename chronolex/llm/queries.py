@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import ann, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
+from chronolex.llm import ann, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(_read(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_html_text,
         op3_language_id,
         op4_quality_rules,
         op5_line_dedup,
