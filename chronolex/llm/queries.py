@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import ann, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash
+from chronolex.llm import ann, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op3_language_id,
         op4_quality_rules,
         op5_line_dedup,
+        op6_substring_dedup,
         op7_source_mixing,
         op8_simhash,
         op9_piece_encoding,
