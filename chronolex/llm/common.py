@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import chronolex.llm
@@ -69,17 +69,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         yield batch.slice(start)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
 
     Where the setting is absent, a local master gets a folder of its own; a cluster must name one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    if (folder := sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")) is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "/tmp/checkpoints"
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "/tmp/checkpoints"
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder, so that what follows doesn't depend on what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
