@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronolex.plans import catalog, versions
+from chronolex.plans import catalog, serving, versions
 
 
 def queries() -> dict[str, catalog.Query]:
-    assert versions
+    assert all((serving, versions))
     return catalog.QUERIES
 
 
