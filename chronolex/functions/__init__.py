@@ -1 +1 @@
-"""Part of chronolex; see the README for the map of modules."""
+"""Column functions on text, dates, numbers and identifiers."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronolex.plans import catalog, serving, versions
+from chronolex.plans import catalog, search, serving, text, versions
 
 
 def queries() -> dict[str, catalog.Query]:
-    assert all((serving, versions))
+    assert all((search, serving, text, versions))
     return catalog.QUERIES
 
 
