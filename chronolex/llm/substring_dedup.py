@@ -130,8 +130,8 @@ class Sets:
     def learn(self, name: str, members: DataFrame, holders: DataFrame) -> None:
         """members(h) is written already. holders(k, th, h) is who holds which identifier, for sets that are too large to send."""
         if at_most(members, SET_ROWS):
-            found = members.select("h").toPandas()["h"].to_numpy(np.int64)
-            self.sent[name] = self.docs.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+            found = members.select("h").toArrow()["h"].to_numpy().view(np.uint64)
+            self.sent[name] = self.docs.sparkSession.sparkContext.broadcast(np.sort(found))
         else:
             own = holders.join(members, "h").groupBy("k", "th").agg(F.collect_set("h").alias(name))
             self.docs = self.docs.join(own, list(KEYS), "left")

@@ -189,7 +189,7 @@ def similar_in_other_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "best_overlapping_sentence",
-    f"""WITH {BM25_SQL}, c AS (SELECT item_id, doc_id FROM kw WHERE rank <= 5), se AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS sentence FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),
+    rf"""WITH {BM25_SQL}, c AS (SELECT item_id, doc_id FROM kw WHERE rank <= 5), se AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS sentence FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),
     qb AS (SELECT DISTINCT item_id, substr(t, i, 2) AS b FROM (SELECT item_id, t, unnest(generate_series(1, length(t) - 1)) AS i FROM (SELECT item_id, lower(regexp_replace(text, '\s', '', 'g')) AS t FROM benchmark))),
     sb AS (SELECT DISTINCT doc_id, sentence, substr(t, i, 2) AS b FROM (SELECT doc_id, sentence, t, unnest(generate_series(1, length(t) - 1)) AS i FROM (SELECT DISTINCT doc_id, sentence, lower(regexp_replace(sentence, '\s', '', 'g')) AS t FROM se))),
     z AS (SELECT item_id, count(*) AS size FROM qb GROUP BY item_id), s AS (SELECT item_id, doc_id, sentence, count(*) AS common FROM c JOIN sb USING (doc_id) JOIN qb USING (item_id, b) GROUP BY ALL),
