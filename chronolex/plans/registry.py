@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronolex.plans import catalog, graph, search, serving, text, versions
+from chronolex.plans import catalog, graph, maintenance, search, serving, streams, text, versions
 
 
 def queries() -> dict[str, catalog.Query]:
-    assert all((graph, search, serving, text, versions))
+    assert all((graph, maintenance, search, serving, streams, text, versions))
     return catalog.QUERIES
 
 
