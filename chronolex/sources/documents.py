@@ -20,7 +20,7 @@ def file_kind(content: Column, name: Column) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, kind, sha256, content) of the files below a folder; those of no known kind have a null kind."""
+    """(path, kind, sha256, content) of the files below a folder; those of no known kind have a null kind, empty files are not listed."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return d.select("path", file_kind(F.col("content"), F.col("path")).alias("kind"), F.sha2("content", 256).alias("sha256"), "content")
 
