@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, priority: str, seed: str = "seed") -> DataFrame:
     """(seed, node, hops, priority) of every node within ``depth`` hops, at its fewest hops and best priority.
 
-    edges: src, dst and a priority (small is good). Each hop is one join of the frontier; nodes that
-    were reached before leave the frontier, so a hub is expanded once per seed.
+    edges: src, dst and a 32-bit priority (small is good). Each hop is one join of the frontier and one
+    hash aggregation of (hops, priority) packed in a long; nodes that were reached before are not in the
+    next frontier, so a hub is expanded once per seed.
     """
-    reached = seeds.select(F.col(seed), F.col("node"), F.lit(0).alias("hops"), F.lit(0).alias(priority))
-    frontier, steps = reached, []
+    place = lambda hops, best: F.shiftleft(hops.cast("long"), 32) + best.cast("long") + (1 << 31)
+    reached = seeds.select(F.col(seed), F.col("node"), place(F.lit(0), F.lit(0)).alias("_at")).distinct()
     for hop in range(1, depth + 1):
-        step = frontier.select(seed, F.col("node").alias("src")).join(edges, "src").groupBy(seed, F.col("dst").alias("node")).agg(F.min(priority).alias(priority))
-        fresh = step.join(reduce(DataFrame.unionByName, [reached.select(seed, "node"), *[s.select(seed, "node") for s in steps]]), [seed, "node"], "left_anti")
-        frontier = fresh.select(seed, "node", F.lit(hop).alias("hops"), priority)
-        steps.append(frontier)
-    return reduce(DataFrame.unionByName, steps)
+        frontier = reached.filter(F.shiftright("_at", 32) == hop - 1).select(seed, F.col("node").alias("src"))
+        step = frontier.join(edges, "src").select(seed, F.col("dst").alias("node"), place(F.lit(hop), F.col(priority)).alias("_at"))
+        reached = reached.unionByName(step).groupBy(seed, "node").agg(F.min("_at").alias("_at"))
+    best = F.col("_at").bitwiseAND((1 << 32) - 1) - (1 << 31)
+    out = reached.select(seed, "node", F.shiftright("_at", 32).cast("int").alias("hops"), best.cast("int").alias(priority))
+    return out.filter("hops > 0")
 
 
 def limited(nodes: DataFrame, seed: str, order: list, most: int) -> DataFrame:

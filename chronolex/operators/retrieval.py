@@ -6,8 +6,12 @@ corpus side is only ever scanned, combined per task and shuffled by (query, docu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WORD = "[a-zà-ÿß]+"
 K1, B = 1.2, 0.75
@@ -71,14 +75,41 @@ def mean_vector(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector: str, row_id: str, vector: str, n: int, most: int = 1000) -> DataFrame:
     """(query, row, score, rank) by exact cosine of a stated query set against all rows.
 
-    The queries travel to the scan as one small array; each row meets each query there, in the JVM.
+    The queries, ``most`` at most, go to the tasks; each Arrow batch of rows meets them in one matrix
+    product in double precision, and a task passes on what can still be among the best n of its batches.
+    A zero vector scores 0; a null vector, or one of another length, isn't ranked.
     """
-    q = queries.select(query_id, query_vector)
-    if q.limit(most + 1).count() > most:
+    asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).limit(most + 1).collect()
+    if len(asked) > most:
         raise ValueError(f"more than {most} queries: use an index")
-    asked = q.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("qv"))).alias("_asked"))
-    met = vectors.select(row_id, vector).crossJoin(F.broadcast(asked)).select(row_id, vector, F.inline("_asked"))
-    scored = met.select(F.col("q").alias(query_id), row_id, F.round(cosine(F.col(vector), F.col("qv")), 6).alias("score"))
+    schema = StructType([queries.schema[query_id], vectors.schema[row_id], StructField("score", DoubleType())])
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    width = len(asked[0][1])
+    if any(len(r[1]) != width for r in asked):
+        raise ValueError("query vectors differ in length")
+    names = pa.array([r[0] for r in asked])
+    q = np.array([[np.nan if x is None else x for x in r[1]] for r in asked], dtype=np.float64)
+    q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+
+    def meet(batches):
+        floor = np.full(len(q), -np.inf)
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            fit = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+            ids, column = ids.filter(fit), column.filter(fit)
+            if not len(ids):
+                continue
+            rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None] * q_norm
+            scores = np.divide(rows @ q.T, norm, out=np.zeros_like(norm), where=norm != 0)
+            if len(scores) >= n:
+                floor = np.fmax(floor, np.partition(scores, len(scores) - n, axis=0)[len(scores) - n])
+            # half a unit of the sixth digit on both sides: what rounds to the same score may win by its id
+            i, j = np.nonzero(~(scores < floor - 1e-6))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), ids.take(pa.array(i)), pa.array(scores[i, j])], names=schema.names)
+
+    scored = vectors.select(row_id, vector).mapInArrow(meet, schema).withColumn("score", F.round("score", 6))
     return top(scored, query_id, "score", row_id, n)
 
 
