@@ -68,7 +68,7 @@ def mix(docs: DataFrame) -> DataFrame:
     d = cut(keyed(docs))
     parts = d.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")))
-    goals = goals.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)))
+    goals = goals.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = parts.withColumn("upto", F.sum("part_size").over(up_to)).alias("p").join(goals.alias("g"), F.expr("p.source <=> g.source"))
