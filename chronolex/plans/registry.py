@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronolex.plans import catalog, graph, maintenance, references, search, serving, streams, text, versions
+from chronolex.plans import catalog, evidence, graph, maintenance, references, search, serving, streams, text, versions
 
 
 def queries() -> dict[str, catalog.Query]:
-    assert all((graph, maintenance, references, search, serving, streams, text, versions))
+    assert all((evidence, graph, maintenance, references, search, serving, streams, text, versions))
     return catalog.QUERIES
 
 
