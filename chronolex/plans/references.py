@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolex.operators import citations as C
 from chronolex.operators import structure as S
 from chronolex.plans.catalog import query, table
+from chronolex.sources import bodies as B
 from chronolex.sources import documents as D
 
 LINES_SQL = """
@@ -177,3 +178,24 @@ def rule_listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("s_suppkey").cast("string").alias("seq"), F.col("s_name").alias("title"), F.lit("A").alias("division"), F.lit("2024-01-02").alias("start"))
     pages = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("json"))
     return D.rule_listing(pages, "json", ["s_nationkey"]).select("s_nationkey", "seq", "title", "fingerprint")
+
+
+@query(
+    "statute_body_xml",
+    """WITH l AS (SELECT l_orderkey, 'a' || l_linenumber || CASE WHEN l_suppkey % 3 > 0 THEN '-' || (l_suppkey % 3) ELSE '' END AS path, l_returnflag AS flag, CAST(trunc(l_quantity) AS INT) AS q FROM lineitem)
+    SELECT l_orderkey, path, 'article' AS unit, 'T' || flag AS heading, 'Body' AS text FROM l UNION ALL SELECT l_orderkey, path || '.p2', 'paragraph', NULL, 'Flag ' || flag FROM l
+    UNION ALL SELECT l_orderkey, path || '.p2.i' || q, 'item', NULL, 'Piece' FROM l UNION ALL SELECT o_orderkey, 'supp@' || strftime(o_orderdate, '%Y-%m-%d'), 'supplement', NULL, 'Takes effect' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+)
+def statute_body_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as statute bodies, their lines as articles, and read back as provisions."""
+    tag = lambda n, *c: F.concat(F.lit(f"<{n}>"), *c, F.lit(f"</{n}>"))
+    item = tag("호", tag("호내용", F.col("l_quantity").cast("int").cast("string"), F.lit(".  Piece")))
+    paragraph = tag("항", tag("항번호", F.lit("②")), tag("항내용", F.lit("② Flag "), "l_returnflag"), item)
+    number, branch = F.col("l_linenumber").cast("string"), (F.col("l_suppkey") % 3).cast("string")
+    article = tag("조문단위", tag("조문여부", F.lit("조문")), tag("조문번호", number), tag("조문가지번호", branch), tag("조문제목", F.lit("T"), "l_returnflag"), tag("조문내용", F.lit("제"), number, F.lit("조(T) Body")), paragraph)
+    preamble = F.lit("<조문단위><조문여부>전문</조문여부><조문내용>제1장 총칙</조문내용></조문단위>")
+    articles = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(article), "").alias("articles"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+    supplement = tag("부칙", tag("부칙단위", tag("부칙공포일자", "day"), tag("부칙내용", F.lit("Takes \n effect"))))
+    bodies = articles.join(orders, "l_orderkey").select("l_orderkey", tag("법령", tag("조문", preamble, "articles"), supplement).alias("xml"))
+    return B.statute_provisions(bodies, "xml", ["l_orderkey"]).drop("ord")
