@@ -128,7 +128,7 @@ def zipped_lines(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = _lines(content)
-                columns = pa.array([path] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())
+                columns = [pa.array([path] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "no", "text"])
 
     return files.select("path", "content").mapInArrow(run, "path string, no int, text string")
