@@ -98,3 +98,11 @@ def test_nearest_with_awkward_vectors(spark):
     got = RT.nearest(v, q, "q", "w", "id", "v", 3)
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [("x", 1, 1.0, 1), ("x", 5, 1.0, 2), ("x", 6, 0.707107, 3)]
     assert RT.nearest(v, q.limit(0), "q", "w", "id", "v", 3).count() == 0
+
+
+def test_sketched_counts_are_near_exact_ones(spark):
+    from chronolex.plans import evidence
+
+    got = {r.o_orderpriority: r.owners for r in evidence.approx_distinct_facets(spark, "/root/testdata/sf0.01").collect()}
+    exact = {r.bucket: r.owners for r in evidence.distinct_by_bucket(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
