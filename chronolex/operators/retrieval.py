@@ -6,6 +6,8 @@ corpus side is only ever scanned, combined per task and shuffled by (query, docu
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,17 +77,27 @@ def mean_vector(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector: str, row_id: str, vector: str, n: int, most: int = 1000) -> DataFrame:
     """(query, row, score, rank) by exact cosine of a stated query set against all rows.
 
-    The queries, ``most`` at most, go to the tasks; each Arrow batch of rows meets them in one matrix
-    product in double precision, and a task passes on what can still be among the best n of its batches.
+    The queries go to the tasks in blocks of ``most`` at most, with a scan for each block; each Arrow batch
+    of rows meets a block in one matrix product in double precision, and a task passes on what can still
+    be among the best n of its batches.
     A zero vector scores 0; a null vector, or one of another length, isn't ranked.
     """
-    asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).limit(most + 1).collect()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} queries: use an index")
+    asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
     schema = StructType([queries.schema[query_id], vectors.schema[row_id], StructField("score", DoubleType())])
-    if not asked:
+    head = asked.limit(most + 1).collect()
+    if not head:
         return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    width = len(asked[0][1])
+    width = len(head[0][1])
+    rest = iter(head if len(head) <= most else asked.toLocalIterator())
+    scored = None
+    while block := list(islice(rest, most)):
+        found = _scores(vectors.select(row_id, vector), block, width, schema, n)
+        scored = found if scored is None else scored.unionAll(found)
+    return top(scored.withColumn("score", F.round("score", 6)), query_id, "score", row_id, n)
+
+
+def _scores(vectors: DataFrame, asked: list, width: int, schema: StructType, n: int) -> DataFrame:
+    """(query, row, score) of what can be among the best n of a block of queries."""
     if any(len(r[1]) != width for r in asked):
         raise ValueError("query vectors differ in length")
     names = pa.array([r[0] for r in asked])
@@ -109,8 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector:
             i, j = np.nonzero(~(scores < floor - 1e-6))
             yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), ids.take(pa.array(i)), pa.array(scores[i, j])], names=schema.names)
 
-    scored = vectors.select(row_id, vector).mapInArrow(meet, schema).withColumn("score", F.round("score", 6))
-    return top(scored, query_id, "score", row_id, n)
+    return vectors.mapInArrow(meet, schema)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, query_id: str, row_id: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import text as X
 from chronolex.operators import citations as C
+from chronolex.operators import retrieval
 from chronolex.operators import structure as S
 from chronolex.operators import upsert as U
 from chronolex.operators import versions as V
@@ -182,3 +183,16 @@ def test_streams_over_several_batches(spark, tmp_path):
     marks = outbox.with_strikes(s, "user_id", "event_id", "bad").withColumn("seen", F.col("handled") + F.col("skipped"))
     got = outbox.upserted(marks, ["user_id"], "seen", "update").drop("seen")
     assert sorted(map(tuple, got.collect())) == [(1, 6, 5, 1, 6), (2, 2, 1, 0, None)]
+
+
+def test_nearest_answers_every_query_beyond_a_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    asked = rows.selectExpr("id AS q", "v AS a").filter("q < 25")
+    got = sorted(tuple(r) for r in retrieval.nearest(rows, asked, "q", "a", "id", "v", 3, most=10).collect())
+    assert got == sorted(tuple(r) for r in retrieval.nearest(rows, asked, "q", "a", "id", "v", 3).collect())
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    assert [r[1] for r in sorted(got, key=lambda r: (r[0], r[3]))] == [int(i) for q in range(25) for i in np.argsort(-cos[q])[:3]]
