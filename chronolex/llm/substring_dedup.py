@@ -1,23 +1,28 @@
 """Removal of long repeated substrings, as a suffix array would find them, by bucket-pointer refinement.
 
 Wanted are the strings of LENGTH bytes that start at two places or more. Suffixes fall into initial
-buckets by a q-gram, and buckets are refined by the identifiers of later offsets until LENGTH bytes
-are told apart; a bucket of one is done. Three things keep this small:
-
-* Every LENGTH-byte string is filed under one q-gram it holds, the smallest by hash (the leftmost of
-  equals). Equal strings choose the same one, so only these anchors are bucketed: about one position
-  in a hundred and fifty. Strings whose anchor is alone are done.
-* The strings under an anchor are refined in blocks of BLOCK neighbouring starts. If the bytes that a
-  block's strings span (its long identifier) recur, all are repeated; if those common to them (its
-  short identifier) recur only together with the same long one, nothing more can match.
-* Only blocks whose short identifier meets several long ones, one of them alone, go down to single
-  strings, reusing what is known about the others.
-
-Identifiers are 64-bit polynomial hashes, computed from prefix sums in any order of the offsets. Each
-step sends counts of identifiers, combined per task before the shuffle, so a string held by a third
-of all documents is a few rows. What a step has learnt comes back to the texts as sets of repeated
-identifiers: sent to all tasks while a set has SET_ROWS members at most, else joined to the documents
-that hold them.
+buckets by a q-gram. A bucket is refined by the identifiers that later offsets have by then: what is
+in one bucket by its first h bytes is told apart by the pair of its own identifier and that of the
+bucket h bytes on, so each round doubles the length told apart and reuses what the rounds before it
+have found. A bucket of one is done and takes no part in later rounds. The rounds:
+
+1. Every LENGTH-byte string is filed under one q-gram it holds, the smallest by hash (the leftmost of
+   equals). Equal strings choose the same one, so only these anchors, about one position in a hundred
+   and fifty, are bucketed.
+2. Anchors in buckets of two or more are refined by the q-gram after them and by that before them:
+   every string holds one of the two pairs whole, and goes if a pair that it holds is alone.
+3. The strings still open are refined in blocks of BLOCK neighbouring starts. If the bytes that a
+   block's strings span (its long identifier) recur, all are repeated; if those common to them (its
+   short identifier) recur only together with the same long one, nothing more can match.
+4. Blocks whose short identifier meets several long ones, one of them alone, go down to single strings.
+
+An identifier names a bucket by 128 bits made from the pair of identifiers it was refined by, in
+place of its rank, which would take a global sort in each round; two strings that differ get one
+identifier with a chance of 2 ** -128. Each round sends counts of identifiers, combined per task
+before the shuffle, so a string held by a third of all documents is a few rows. What a round has
+learnt comes back to the texts as sets of open identifiers: sent to all tasks while a set has
+SET_ROWS members at most, else joined to the documents that hold them. All of it is a function of the
+texts alone, so a task that runs again sends the same rows.
 """
 
 from __future__ import annotations
@@ -27,19 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import at_most, cut, slices
 
-LENGTH, GRAM, BLOCK = 400, 100, 32
-#: Members of a set that is sent to every task: 32 MB. Larger ones are joined.
-SET_ROWS = 4_000_000
+LENGTH, GRAM, BLOCK = 400, 96, 32
+#: Members of a set that is sent to every task: 48 MB. Larger ones are joined.
+SET_ROWS = 3_000_000
 FLUSH = 1_000_000
 
 _RNG = np.random.default_rng(20)
-VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, 256, dtype=np.uint64)
-BASE = 0x9E3779B97F4A7C15
+VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, (2, 256), dtype=np.uint64)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KEYS = {"k": "long", "th": "long"}
 
 
@@ -49,41 +54,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pair(first: np.ndarray, later: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+    """Identifiers (2 x 64 bits) of the buckets told apart by two identifiers; kind tells apart uses of the same bytes."""
+    return _mix(first * np.uint64(0xD6E8FEB86659FD93) + _mix(later + np.uint64(1)) + np.asarray(kind, np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 class Powers:
-    """Powers of BASE and of its inverse modulo 2 ** 64, as far as any text so far needed."""
+    """Powers of the bases and of their inverses modulo 2 ** 64, as far as any text so far needed."""
 
     def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
+        self.up = self.down = np.zeros((2, 0), np.uint64)
 
     def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16, 2 * len(self.up))
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE, np.uint64)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(BASE, -1, 1 << 64), np.uint64)]))
+        if self.up.shape[1] < n:
+            n = max(n, 1 << 16, 2 * self.up.shape[1])
+            grown = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
+            self.up = np.stack([grown(b) for b in BASES])
+            self.down = np.stack([grown(pow(b, -1, 1 << 64)) for b in BASES])
 
 
 class Text:
-    """Identifiers of one text's substrings, and its anchors."""
+    """Bucket identifiers of one text's substrings, and its anchors."""
 
     def __init__(self, data: bytes, powers: Powers):
         n = self.n = len(data)
         powers.reach(n + 1)
         self.powers = powers
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUES[np.frombuffer(data, np.uint8)] * powers.up[:n], out=self.sums[1:])
-
-    def ids(self, start: np.ndarray, length: int, kind: np.ndarray | int = 0) -> np.ndarray:
-        """Identifiers of the substrings of one length; kind tells apart uses of the same bytes."""
-        h = (self.sums[start + length] - self.sums[start]) * self.powers.down[start]
-        return _mix(h + np.uint64(length) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(kind, np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position, first start, last start, identifier of its q-gram) of each anchor: the starts filed under it are neighbours."""
-        grams = self.ids(np.arange(self.n - GRAM + 1), GRAM)
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.sums: list = [None, None]
+
+    def _gram(self, at: np.ndarray, half: int) -> np.ndarray:
+        if self.sums[half] is None:
+            self.sums[half] = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(VALUES[half][self.bytes] * self.powers.up[half, : self.n], out=self.sums[half][1:])
+        return (self.sums[half][at + GRAM] - self.sums[half][at]) * self.powers.down[half][at]
+
+    def bucket(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Identifiers (2 x 64 bits) of the strings of one length: of q-grams at first, then of two shorter ones that meet or overlap."""
+        if length == GRAM:
+            return _mix(np.stack([self._gram(at, half) for half in (0, 1)]))
+        shorter = GRAM
+        while 2 * shorter < length:
+            shorter *= 2
+        return _pair(self.bucket(at, shorter), self.bucket(at + length - shorter, shorter), length)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, first start, last start) of each anchor: the starts filed under it are neighbours."""
+        wide = LENGTH - GRAM + 1
+        last = self.n - GRAM + 1
+        sums, down = self._gram(np.arange(0), 0), self.powers.down[0]
+        sums = self.sums[0]
+        grams = _mix((sums[GRAM:] - sums[:last]) * down[:last])
         # The top bits order the q-grams, the position below them breaks ties to the left.
         low = max(1, (self.n - 1).bit_length())
-        key = (grams >> np.uint64(low)) << np.uint64(low) | np.arange(len(grams), dtype=np.uint64)
-        wide, reach = LENGTH - GRAM + 1, 1
+        key = (grams >> np.uint64(low)) << np.uint64(low) | np.arange(last, dtype=np.uint64)
+        reach = 1
         while reach * 2 <= wide:
             key = np.minimum(key[:-reach], key[reach:])
             reach *= 2
@@ -91,7 +116,13 @@ class Text:
             key = np.minimum(key[: len(key) - (wide - reach)], key[wide - reach :])
         at = (key & np.uint64((1 << low) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[first], first, np.append(first[1:], len(at)) - 1, grams[at[first]]
+        return at[first], first, np.append(first[1:], len(at)) - 1
+
+    def before_and_after(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(which anchors, identifiers) of the pairs with the q-gram before and of those with the q-gram after, where a string holds the pair."""
+        left = np.flatnonzero(first <= at - GRAM)
+        right = np.flatnonzero(last >= at - (LENGTH - 2 * GRAM))
+        return (left, self.bucket(at[left] - GRAM, 2 * GRAM)), (right, self.bucket(at[right], 2 * GRAM))
 
     def blocks(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """(anchor, block number, long identifier, has one, short identifier) of the blocks that hold the anchors' starts."""
@@ -103,17 +134,27 @@ class Text:
         start = p - (b * BLOCK + BLOCK - 1)
         span = LENGTH + BLOCK - 1
         whole = (start >= 0) & (start + span <= self.n)
-        long = np.zeros(len(p), np.uint64)
-        long[whole] = self.ids(start[whole], span, 2 * b[whole] + 1)
-        return owner, b, long, whole, self.ids(p - b * BLOCK, LENGTH - BLOCK + 1, 2 * b + 2)
+        long = np.zeros((2, len(p)), np.uint64)  # zero: cut off by the text's end
+        held = self.bucket(start[whole], span)
+        long[:, whole] = _pair(held, held, 2 * b[whole] + 1)
+        common = self.bucket(p - b * BLOCK, LENGTH - BLOCK + 1)
+        return owner, b, long, whole, _pair(common, common, 2 * b + 2)
 
 
 def _among(values: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Which values are members (sorted)."""
-    if not len(members):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(members, values), len(members) - 1)
-    return members[at] == values
+    """Which identifiers are members (sorted)."""
+    found = np.zeros(values.shape[1], bool)
+    end = members.shape[1]
+    if not end or not len(found):
+        return found
+    at = np.searchsorted(members[0], values[0])
+    while True:
+        near = np.minimum(at, end - 1)
+        same = (at < end) & (members[0][near] == values[0])
+        found |= same & (members[1][near] == values[1])
+        if not (same & ~found).any():
+            return found
+        at = at + 1
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -121,24 +162,40 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _sorted(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    members = np.stack([first, second]).view(np.uint64)
+    return members[:, np.lexsort((members[1], members[0]))]
+
+
 class Sets:
-    """Sets of repeated identifiers: broadcast, or columns ``name`` of the documents."""
+    """Sets of open identifiers: broadcast, or columns ``name`` of the documents."""
 
     def __init__(self, docs: DataFrame):
         self.docs, self.sent, self.columns = docs, {}, []
 
     def learn(self, name: str, members: DataFrame, holders: DataFrame) -> None:
-        """members(h) is written already. holders(k, th, h) is who holds which identifier, for sets that are too large to send."""
+        """members(h1, h2) is written already. holders(k, th, h1, h2) is who holds which identifier, for sets that are too large to send."""
+        spark = self.docs.sparkSession
         if at_most(members, SET_ROWS):
-            found = members.select("h").toArrow()["h"].to_numpy().view(np.uint64)
-            self.sent[name] = self.docs.sparkSession.sparkContext.broadcast(np.sort(found))
+            found = members.select("h1", "h2").toArrow()
+            self.sent[name] = spark.sparkContext.broadcast(_sorted(*(found[c].to_numpy() for c in ("h1", "h2"))))
+            return
+        if not self.columns:  # the texts are dealt out once, all sets then come to them
+            self.docs = cut(self.docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS))
+        own = cut(holders.join(members, ["h1", "h2"]).groupBy(*KEYS).agg(F.collect_set(F.struct("h1", "h2")).alias(name)))
+        self.docs = self.docs.join(own, list(KEYS), "left")
+        self.columns.append(name)
+
+    def forget(self, name: str) -> None:
+        """A set that a later one makes needless."""
+        if name in self.columns:
+            self.columns.remove(name)
+            self.docs = self.docs.drop(name)
         else:
-            own = holders.join(members, "h").groupBy("k", "th").agg(F.collect_set("h").alias(name))
-            self.docs = self.docs.join(own, list(KEYS), "left")
-            self.columns.append(name)
+            self.sent.pop(name)
 
     def reader(self):
-        """f(batch, row) -> {name: sorted members}, for use in tasks."""
+        """f(batch) -> (row -> {name: sorted members}), for use in tasks."""
         sent, columns = dict(self.sent), list(self.columns)
 
         def read(batch: pa.RecordBatch):
@@ -147,8 +204,8 @@ class Sets:
             def of(row: int) -> dict[str, np.ndarray]:
                 found = {k: v.value for k, v in sent.items()}
                 for c, column in by_row.items():
-                    own = column[row].as_py() or []
-                    found[c] = np.sort(np.array(own, np.int64).view(np.uint64))
+                    own = column.slice(row, 1).flatten()
+                    found[c] = _sorted(*(own.field(i).to_numpy() for i in (0, 1)))
                 return found
 
             return of
@@ -166,86 +223,108 @@ def _texts(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[pa.RecordB
 
 
 def _emit(sets: Sets, step, keyed: bool) -> DataFrame:
-    """Rows (h, g, n) that step(text, sets) -> (h, g) makes, counted per task; with (k, th) per document if keyed."""
+    """Rows (h1, h2, and g1, g2 of a second identifier, n) that step(text, sets) -> identifiers makes, counted per task; with (k, th) per document if keyed."""
     read = sets.reader()
+    names = ["h1", "h2", "g1", "g2"][: 2 * step.identifiers]
 
-    def batch(keys, h, g, n):
-        columns = [pa.array(x.view(np.int64)) for x in (h, g)] + [pa.array(n)]
-        return pa.RecordBatch.from_arrays([*keys, *columns], [*(KEYS if keyed else ()), "h", "g", "n"])
+    def batch(keys, ids, n):
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(x.view(np.int64)) for x in ids), pa.array(n)], [*(KEYS if keyed else ()), *names, "n"])
 
-    def counted(hs: list, gs: list):
-        h, g = np.concatenate(hs), np.concatenate(gs)
-        own, at, n = np.unique(h, return_index=True, return_counts=True)
-        return batch([], own, g[at], n.astype(np.int64))
+    def counted(found: list):
+        ids = np.concatenate(found, axis=1)
+        ids = ids[:, np.lexsort(ids[::-1])]
+        first = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]))
+        return batch([], np.ascontiguousarray(ids[:, first]), np.diff(np.append(first, ids.shape[1])))
 
     def run(batches):
-        hs, gs, size = [], [], 0
+        found, size = [], 0
         for b, row, text, _, known in _texts(batches, read):
             if text is None:
                 continue
-            h, g = step(text, known)
-            if not len(h):
+            ids = step(text, known)
+            if not ids.shape[1]:
                 continue
             if keyed:
-                keys = [pa.array(np.full(len(h), b.column(c)[row].as_py(), np.int64)) for c in KEYS]
-                yield batch(keys, h, g, np.ones(len(h), np.int64))
+                keys = [pa.array(np.full(ids.shape[1], b.column(c)[row].as_py(), np.int64)) for c in KEYS]
+                yield batch(keys, np.ascontiguousarray(ids), np.ones(ids.shape[1], np.int64))
                 continue
-            hs.append(h)
-            gs.append(g)
-            size += len(h)
+            found.append(ids)
+            size += ids.shape[1]
             if size >= FLUSH:
-                yield counted(hs, gs)
-                hs, gs, size = [], [], 0
-        if hs:
-            yield counted(hs, gs)
+                yield counted(found)
+                found, size = [], 0
+        if found:
+            yield counted(found)
 
-    schema = ("k long, th long, " if keyed else "") + "h long, g long, n long"
+    schema = ("k long, th long, " if keyed else "") + ", ".join(f"{c} long" for c in [*names, "n"])
     return sets.docs.mapInArrow(run, schema)
 
 
-def _anchors(text: Text, known: dict):
-    return (h := text.anchors()[3]), h
+def _anchors(text: Text, known: dict) -> np.ndarray:
+    """Round 1: the q-grams of all anchors."""
+    return text.bucket(text.anchors()[0], GRAM)
 
 
-def _repeated_anchors(text: Text, known: dict):
-    at, first, last, h = text.anchors()
-    ok = _among(h, known["anchors"])
-    return at[ok], first[ok], last[ok]
+def _neighbours(text: Text, known: dict) -> np.ndarray:
+    """Round 2: pairs of neighbouring q-grams at the anchors whose own bucket is open."""
+    at, first, last = text.anchors()
+    open_ = _among(text.bucket(at, GRAM), known["anchors"])
+    (_, left), (_, right) = text.before_and_after(at[open_], first[open_], last[open_])
+    return np.concatenate([left, right], axis=1)
 
 
-def _blocks(text: Text, known: dict):
-    """(long, short) identifiers; a block cut off by the text's end has a long one of its own."""
-    at, first, last = _repeated_anchors(text, known)
-    if not len(at):
-        return at.astype(np.uint64), at.astype(np.uint64)
-    _, b, long, whole, short = text.blocks(at, first, last)
-    alone = np.flatnonzero(~whole)
-    long[alone] = _mix(text.sums[-1] + _mix(alone.astype(np.uint64) + np.uint64(known["row"])))
-    return long, short
+def _open_anchors(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with the starts that round 2 has left open: those of strings whose pairs, before and after as far as they hold them, recur."""
+    at, first, last = text.anchors()
+    for side, (which, ids) in enumerate(text.before_and_after(at, first, last)):
+        alone = which[~_among(ids, known["neighbours"])]
+        if side == 0:
+            first[alone] = np.maximum(first[alone], at[alone] - GRAM + 1)
+        else:
+            last[alone] = np.minimum(last[alone], at[alone] - (LENGTH - 2 * GRAM) - 1)
+    some = first <= last
+    return at[some], first[some], last[some]
+
+
+def _blocks(text: Text, known: dict) -> np.ndarray:
+    """Round 3: (long, short) identifiers of the open blocks; the long one is zero where the text's end cuts it off."""
+    _, _, long, _, short = text.blocks(*_open_anchors(text, known))
+    return np.concatenate([long, short])
 
 
 def _open_strings(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """(starts known to be repeated, starts to be looked at singly)."""
-    at, first, last = _repeated_anchors(text, known)
+    at, first, last = _open_anchors(text, known)
     if not len(at):
         return at, at
     owner, b, long, whole, short = text.blocks(at, first, last)
     start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
     stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
     sure = whole & _among(long, known["long"])
-    single = _among(short, known["short"])
+    single = ~sure & _among(short, known["short"])
     return _ranges(start[sure], stop[sure]), _ranges(start[single], stop[single])
 
 
-def _strings(text: Text, known: dict):
-    h = text.ids(_open_strings(text, known)[1], LENGTH)
-    return h, h
+def _strings(text: Text, known: dict) -> np.ndarray:
+    """Round 4: single strings of the blocks that stayed open, with those of their likes known to be repeated."""
+    at, first, last = _open_anchors(text, known)
+    if not len(at):
+        return np.zeros((2, 0), np.uint64)
+    owner, b, _, _, short = text.blocks(at, first, last)
+    start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
+    stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
+    open_ = _among(short, known["short"])
+    return text.bucket(_ranges(start[open_], stop[open_]), LENGTH)
+
+
+_anchors.identifiers = _neighbours.identifiers = _strings.identifiers = 1
+_blocks.identifiers = 2
 
 
 def removed_spans(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that repeated strings cover."""
     sure, single = _open_strings(text, known)
-    found = np.concatenate([sure, single[_among(text.ids(single, LENGTH), known["strings"])]]) if len(single) else sure
+    found = np.concatenate([sure, single[_among(text.bucket(single, LENGTH), known["strings"])]]) if len(single) else sure
     if not len(found):
         return found, found
     found = np.unique(found)
@@ -258,31 +337,26 @@ def repeated(docs: DataFrame) -> Sets:
     keys = {"k": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "th": F.xxhash64("text")}
     sets = Sets(docs.select("doc_id", "text").withColumns(keys))
 
-    def learn(name: str, step, choose) -> None:
-        members = cut(choose(_emit(sets, step, False)))
+    def learn(name: str, step) -> None:
+        members = cut(_emit(sets, step, False).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"))
         sets.learn(name, members, _emit(sets, step, True))
 
-    more = lambda d: d.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    learn("anchors", _anchors, more)
-    pairs = cut(_emit(sets, _numbered(_blocks), False).groupBy("h").agg(F.sum("n").alias("n"), F.first("g").alias("g")).withColumn("n", F.least("n", F.lit(2))))
-    holders = _emit(sets, _numbered(_blocks), True)
-    long = cut(pairs.filter("n > 1").select("h"))
-    short = cut(pairs.groupBy("g").agg(F.count("*").alias("longs"), F.min("n").alias("least")).filter("longs > 1 AND least = 1").select(F.col("g").alias("h")))
-    sets.learn("long", long, holders.select("k", "th", "h"))
-    sets.learn("short", short, holders.select("k", "th", F.col("g").alias("h")))
-    learn("strings", _strings, more)
+    learn("anchors", _anchors)
+    learn("neighbours", _neighbours)
+    sets.forget("anchors")
+    buckets = cut(_emit(sets, _blocks, False).groupBy("h1", "h2", "g1", "g2").agg(F.sum("n").alias("n")))
+    holders = _emit(sets, _blocks, True)
+    cut_off: Column = (F.col("h1") == 0) & (F.col("h2") == 0)
+    long = cut(buckets.filter(~cut_off & (F.col("n") > 1)).select("h1", "h2"))
+    # A block that the text's end cuts off stands alone beside its likes.
+    by_short = buckets.groupBy("g1", "g2").agg(F.sum("n").alias("all"), F.min(F.when(cut_off, F.lit(1)).otherwise(F.col("n"))).alias("least"))
+    short = cut(by_short.filter("all > 1 AND least = 1").select(F.col("g1").alias("h1"), F.col("g2").alias("h2")))
+    sets.learn("long", long, holders.select("k", "th", "h1", "h2"))
+    sets.learn("short", short, holders.select("k", "th", F.col("g1").alias("h1"), F.col("g2").alias("h2")))
+    learn("strings", _strings)
     return sets
 
 
-def _numbered(step):
-    """The step with a number of its own for every text, random enough that equal texts differ."""
-
-    def run(text: Text, known: dict):
-        return step(text, known | {"row": int(np.random.default_rng().integers(0, 1 << 62))})
-
-    return run
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) per document.
 
