@@ -22,7 +22,8 @@ identifier with a chance of 2 ** -128. Each round sends counts of identifiers, c
 before the shuffle, so a string held by a third of all documents is a few rows. What a round has
 learnt comes back to the texts as sets of open identifiers: sent to all tasks while a set has
 SET_ROWS members at most, else joined to the documents that hold them. All of it is a function of the
-texts alone, so a task that runs again sends the same rows.
+texts alone, so a task that runs again sends the same rows. Texts are looked at a slice at a time,
+laid end to end; no string that reaches over a text's end counts.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ FLUSH = 1_000_000
 _RNG = np.random.default_rng(20)
 VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, (2, 256), dtype=np.uint64)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bits for a position: the same in every slice, so that equal strings choose equal anchors.
+PLACE = np.uint64(31)
+#: Bytes of a slice, about; a longer text is a slice of its own.
+SLICE = 1 << 20
 KEYS = {"k": "long", "th": "long"}
 
 
@@ -73,21 +78,32 @@ class Powers:
             self.down = np.stack([grown(pow(b, -1, 1 << 64)) for b in BASES])
 
 
-class Text:
-    """Bucket identifiers of one text's substrings, and its anchors."""
+class Slice:
+    """Bucket identifiers of the substrings of some texts, laid end to end, and their anchors."""
 
-    def __init__(self, data: bytes, powers: Powers):
-        n = self.n = len(data)
+    def __init__(self, texts: list[bytes], powers: Powers):
+        self.data = b"\0".join(texts)  # a byte between texts keeps their spans apart
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begin = np.cumsum(self.sizes + 1) - self.sizes - 1
+        n = self.n = len(self.data)
         powers.reach(n + 1)
         self.powers = powers
-        self.bytes = np.frombuffer(data, np.uint8)
+        self.bytes = np.frombuffer(self.data, np.uint8)
         self.sums: list = [None, None]
 
-    def _gram(self, at: np.ndarray, half: int) -> np.ndarray:
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """Number of the text that holds a position."""
+        return np.searchsorted(self.begin, at, "right") - 1
+
+    def _sums(self, half: int) -> np.ndarray:
         if self.sums[half] is None:
             self.sums[half] = np.zeros(self.n + 1, np.uint64)
             np.cumsum(VALUES[half][self.bytes] * self.powers.up[half, : self.n], out=self.sums[half][1:])
-        return (self.sums[half][at + GRAM] - self.sums[half][at]) * self.powers.down[half][at]
+        return self.sums[half]
+
+    def _gram(self, at: np.ndarray, half: int) -> np.ndarray:
+        sums = self._sums(half)
+        return (sums[at + GRAM] - sums[at]) * self.powers.down[half][at]
 
     def bucket(self, at: np.ndarray, length: int) -> np.ndarray:
         """Identifiers (2 x 64 bits) of the strings of one length: of q-grams at first, then of two shorter ones that meet or overlap."""
@@ -100,23 +116,23 @@ class Text:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, first start, last start) of each anchor: the starts filed under it are neighbours."""
-        wide = LENGTH - GRAM + 1
-        last = self.n - GRAM + 1
-        sums, down = self._gram(np.arange(0), 0), self.powers.down[0]
-        sums = self.sums[0]
-        grams = _mix((sums[GRAM:] - sums[:last]) * down[:last])
+        starts = _ranges(self.begin, self.begin + np.maximum(self.sizes - LENGTH + 1, 0))
+        if not len(starts):
+            return starts, starts, starts
+        wide, end = LENGTH - GRAM + 1, self.n - GRAM + 1
+        sums = self._sums(0)
+        grams = _mix((sums[GRAM:] - sums[:end]) * self.powers.down[0][:end])
         # The top bits order the q-grams, the position below them breaks ties to the left.
-        low = max(1, (self.n - 1).bit_length())
-        key = (grams >> np.uint64(low)) << np.uint64(low) | np.arange(last, dtype=np.uint64)
+        key = (grams >> PLACE) << PLACE | np.arange(end, dtype=np.uint64)
         reach = 1
         while reach * 2 <= wide:
             key = np.minimum(key[:-reach], key[reach:])
             reach *= 2
         if reach < wide:
             key = np.minimum(key[: len(key) - (wide - reach)], key[wide - reach :])
-        at = (key & np.uint64((1 << low) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[first], first, np.append(first[1:], len(at)) - 1
+        at = (key[starts] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return at[new], starts[new], starts[np.append(new[1:], len(at)) - 1]
 
     def before_and_after(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(which anchors, identifiers) of the pairs with the q-gram before and of those with the q-gram after, where a string holds the pair."""
@@ -133,7 +149,8 @@ class Text:
         owner = np.repeat(np.arange(len(at)), count)
         start = p - (b * BLOCK + BLOCK - 1)
         span = LENGTH + BLOCK - 1
-        whole = (start >= 0) & (start + span <= self.n)
+        text = self.owner(p)
+        whole = (start >= self.begin[text]) & (start + span <= self.begin[text] + self.sizes[text])
         long = np.zeros((2, len(p)), np.uint64)  # zero: cut off by the text's end
         held = self.bucket(start[whole], span)
         long[:, whole] = _pair(held, held, 2 * b[whole] + 1)
@@ -195,35 +212,28 @@ class Sets:
             self.sent.pop(name)
 
     def reader(self):
-        """f(batch) -> (row -> {name: sorted members}), for use in tasks."""
+        """f(batch) -> {name: sorted members}, for use in tasks."""
         sent, columns = dict(self.sent), list(self.columns)
 
-        def read(batch: pa.RecordBatch):
-            by_row = {c: batch.column(c) for c in columns}
-
-            def of(row: int) -> dict[str, np.ndarray]:
-                found = {k: v.value for k, v in sent.items()}
-                for c, column in by_row.items():
-                    own = column.slice(row, 1).flatten()
-                    found[c] = _sorted(*(own.field(i).to_numpy() for i in (0, 1)))
-                return found
-
-            return of
+        def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            found = {k: v.value for k, v in sent.items()}
+            for c in columns:
+                own = batch.column(c).flatten()
+                found[c] = _sorted(*(own.field(i).to_numpy() for i in (0, 1)))
+            return found
 
         return read
 
 
-def _texts(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[pa.RecordBatch, int, Text | None, bytes, dict]]:
+def _slices(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[pa.RecordBatch, list[bytes], Slice, dict]]:
     powers = Powers()
-    for b in slices(batches, "text"):
-        of = read(b)
-        for row, text in enumerate(b.column("text").to_pylist()):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            yield b, row, Text(data, powers) if len(data) >= LENGTH else None, data, of(row) if len(data) >= LENGTH else {}
+    for b in slices(batches, "text", SLICE):
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+        yield b, texts, Slice(texts, powers), read(b)
 
 
 def _emit(sets: Sets, step, keyed: bool) -> DataFrame:
-    """Rows (h1, h2, and g1, g2 of a second identifier, n) that step(text, sets) -> identifiers makes, counted per task; with (k, th) per document if keyed."""
+    """Rows (h1, h2, and g1, g2 of a second identifier, n) that step(slice, sets) -> (identifiers, positions) makes, counted per task; with (k, th) per document if keyed."""
     read = sets.reader()
     names = ["h1", "h2", "g1", "g2"][: 2 * step.identifiers]
 
@@ -238,15 +248,13 @@ def _emit(sets: Sets, step, keyed: bool) -> DataFrame:
 
     def run(batches):
         found, size = [], 0
-        for b, row, text, _, known in _texts(batches, read):
-            if text is None:
-                continue
-            ids = step(text, known)
+        for b, _, texts, known in _slices(batches, read):
+            ids, at = step(texts, known)
             if not ids.shape[1]:
                 continue
             if keyed:
-                keys = [pa.array(np.full(ids.shape[1], b.column(c)[row].as_py(), np.int64)) for c in KEYS]
-                yield batch(keys, np.ascontiguousarray(ids), np.ones(ids.shape[1], np.int64))
+                rows = pa.array(texts.owner(at))
+                yield batch([b.column(c).take(rows) for c in KEYS], np.ascontiguousarray(ids), np.ones(ids.shape[1], np.int64))
                 continue
             found.append(ids)
             size += ids.shape[1]
@@ -260,23 +268,25 @@ def _emit(sets: Sets, step, keyed: bool) -> DataFrame:
     return sets.docs.mapInArrow(run, schema)
 
 
-def _anchors(text: Text, known: dict) -> np.ndarray:
+def _anchors(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Round 1: the q-grams of all anchors."""
-    return text.bucket(text.anchors()[0], GRAM)
+    at = texts.anchors()[0]
+    return texts.bucket(at, GRAM), at
 
 
-def _neighbours(text: Text, known: dict) -> np.ndarray:
+def _neighbours(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Round 2: pairs of neighbouring q-grams at the anchors whose own bucket is open."""
-    at, first, last = text.anchors()
-    open_ = _among(text.bucket(at, GRAM), known["anchors"])
-    (_, left), (_, right) = text.before_and_after(at[open_], first[open_], last[open_])
-    return np.concatenate([left, right], axis=1)
+    at, first, last = texts.anchors()
+    open_ = _among(texts.bucket(at, GRAM), known["anchors"])
+    at, first, last = at[open_], first[open_], last[open_]
+    (a, left), (b, right) = texts.before_and_after(at, first, last)
+    return np.concatenate([left, right], axis=1), np.concatenate([at[a], at[b]])
 
 
-def _open_anchors(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_anchors(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors with the starts that round 2 has left open: those of strings whose pairs, before and after as far as they hold them, recur."""
-    at, first, last = text.anchors()
-    for side, (which, ids) in enumerate(text.before_and_after(at, first, last)):
+    at, first, last = texts.anchors()
+    for side, (which, ids) in enumerate(texts.before_and_after(at, first, last)):
         alone = which[~_among(ids, known["neighbours"])]
         if side == 0:
             first[alone] = np.maximum(first[alone], at[alone] - GRAM + 1)
@@ -286,18 +296,17 @@ def _open_anchors(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray, np.n
     return at[some], first[some], last[some]
 
 
-def _blocks(text: Text, known: dict) -> np.ndarray:
+def _blocks(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Round 3: (long, short) identifiers of the open blocks; the long one is zero where the text's end cuts it off."""
-    _, _, long, _, short = text.blocks(*_open_anchors(text, known))
-    return np.concatenate([long, short])
+    at, first, last = _open_anchors(texts, known)
+    owner, _, long, _, short = texts.blocks(at, first, last)
+    return np.concatenate([long, short]), at[owner]
 
 
-def _open_strings(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def _open_strings(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """(starts known to be repeated, starts to be looked at singly)."""
-    at, first, last = _open_anchors(text, known)
-    if not len(at):
-        return at, at
-    owner, b, long, whole, short = text.blocks(at, first, last)
+    at, first, last = _open_anchors(texts, known)
+    owner, b, long, whole, short = texts.blocks(at, first, last)
     start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
     stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
     sure = whole & _among(long, known["long"])
@@ -305,26 +314,25 @@ def _open_strings(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray]:
     return _ranges(start[sure], stop[sure]), _ranges(start[single], stop[single])
 
 
-def _strings(text: Text, known: dict) -> np.ndarray:
+def _strings(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Round 4: single strings of the blocks that stayed open, with those of their likes known to be repeated."""
-    at, first, last = _open_anchors(text, known)
-    if not len(at):
-        return np.zeros((2, 0), np.uint64)
-    owner, b, _, _, short = text.blocks(at, first, last)
+    at, first, last = _open_anchors(texts, known)
+    owner, b, _, _, short = texts.blocks(at, first, last)
     start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
     stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
     open_ = _among(short, known["short"])
-    return text.bucket(_ranges(start[open_], stop[open_]), LENGTH)
+    found = _ranges(start[open_], stop[open_])
+    return texts.bucket(found, LENGTH), found
 
 
 _anchors.identifiers = _neighbours.identifiers = _strings.identifiers = 1
 _blocks.identifiers = 2
 
 
-def removed_spans(text: Text, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that repeated strings cover."""
-    sure, single = _open_strings(text, known)
-    found = np.concatenate([sure, single[_among(text.bucket(single, LENGTH), known["strings"])]]) if len(single) else sure
+    sure, single = _open_strings(texts, known)
+    found = np.concatenate([sure, single[_among(texts.bucket(single, LENGTH), known["strings"])]]) if len(single) else sure
     if not len(found):
         return found, found
     found = np.unique(found)
@@ -376,21 +384,20 @@ def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_bytes else pa.string())
             return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-        now, rows = None, []
-        for b, _, text, data, known in _texts(batches, read):
-            if b is not now and rows:
-                yield answer(now, rows)
-                rows = []
-            now = b
-            starts, ends = removed_spans(text, known) if text is not None else (np.zeros(0, np.int64),) * 2
-            view, at, kept = memoryview(data), 0, []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                kept.append(view[at:s])
-                at = e
-            left = b"".join([*kept, view[at:]])
-            rows.append((len(data), len(data) - len(left), len(starts), left if with_bytes else hashlib.sha256(left).hexdigest()))
-        if rows:
-            yield answer(now, rows)
+        for b, texts, laid, known in _slices(batches, read):
+            starts, ends = removed_spans(laid, known)
+            spans = np.searchsorted(laid.owner(starts), np.arange(len(texts) + 1))
+            starts, ends, rows = starts.tolist(), ends.tolist(), []
+            for i, data in enumerate(texts):
+                left, count = data, int(spans[i + 1] - spans[i])
+                if count:
+                    view, begin, at, kept = memoryview(data), int(laid.begin[i]), 0, []
+                    for k in range(spans[i], spans[i + 1]):
+                        kept.append(view[at : starts[k] - begin])
+                        at = ends[k] - begin
+                    left = b"".join([*kept, view[at:]])
+                rows.append((len(data), len(data) - len(left), count, left if with_bytes else hashlib.sha256(left).hexdigest()))
+            yield answer(b, rows)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if with_bytes else "kept_sha256"]
     kind = dict(docs.dtypes)["doc_id"]
