@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every tree gives each vector a string of hash bits (signs of random projections of the centred unit
-vector) and holds the vectors in the order of these strings, cut into parts. A query goes down every
-tree to its longest matching prefix and then comes up in all trees at once, one bit at a time, until
-the prefixes hold enough vectors. How many are enough is measured, not given: on a bounded sample the
-forest must find the target share of true neighbours. All vectors below the final prefix are compared
-exactly, in the tasks that hold them; there is no cap on their number.
-
-The sample stands for the upper levels of the trees, so the depth of a query is found without a
-shuffle; its resolution bounds how few vectors a query can look at (about SAMPLE_ROWS'th parts).
+Every tree gives each vector a long string of hash bits (signs of random projections of the centred
+unit vector) and keeps the vectors in the order of these strings, cut into parts by their leading
+bits; a part is a sorted array. A search has two phases:
+
+1. Strings only. In every tree a query goes down to its longest matching prefix in the sorted array
+   and then comes up, all trees at once, one bit at a time, until the prefixes hold enough vectors.
+   How many the trees hold below a prefix is counted in the query's own part; above the part, which is
+   a prefix itself, the sample's counts stand for the rest. Equal strings are counted before they move.
+2. Vectors. All those below the final prefix are compared exactly, in the parts that hold them; there
+   is no cap on their number. A part that holds far more than PART_ROWS (a dense cluster shares its
+   strings) is dealt out by hash, and the queries come to each of its pieces.
+
+How many are enough is measured, not given: on a bounded sample the forest must find the target share
+of true neighbours.
 """
 
 from __future__ import annotations
@@ -21,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import cut
+from chronolex.llm.common import at_most, cut
 
-TREES, LABEL_BITS, SEED = 10, 32, 11
+#: Each tree holds a copy of the vectors in phase 2, so their number is what the shuffle pays for.
+TREES, LABEL_BITS, SEED = 4, 48, 11
 #: Sample rows (those whose hash is lowest), and how many of them are queries when the depth is set.
 SAMPLE_ROWS, SAMPLE_QUERIES = 12_000, 400
-TARGET_RECALL = 0.96
-#: Vectors in a part of a tree, about: 50 MB of 64 floats.
-PART_ROWS = 100_000
-FOUND = ["h1", "h2", "i1", "i2", "ids", "score"]
+TARGET_RECALL = 0.95
+#: Vectors in a part of a tree, about: 5 MB of 64 floats. Those of twice as many are dealt out.
+PART_ROWS = 20_000
+#: Such parts that are sent to all tasks; more are joined.
+LARGE_PARTS = 100_000
+FOUND = ["h1", "h2", "i1", "i2", "first", "score"]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -53,33 +61,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Projections, depth rule and part bounds for the vectors of one dimension, from a sample."""
+    """Projections, depth rule and part depth for the vectors of one dimension, from a sample."""
 
     def __init__(self, sample: np.ndarray, rows: int, near: int):
         rng = np.random.default_rng(SEED)
         x = _unit(sample)
+        self.rows = rows
         self.mean = x.mean(0)
         self.planes = rng.normal(size=(x.shape[1], TREES * LABEL_BITS))
         labels = self.labels(sample)
         self.sorted = np.sort(labels, axis=0)
         self.need = self._calibrate(x, labels, near)
-        parts = max(1, -(-rows // PART_ROWS))
-        self.bounds = self.sorted[(np.arange(1, parts) * len(x)) // parts]  # parts - 1 rows, a column per tree
+        #: Leading bits that name a part.
+        self.part_bits = min(LABEL_BITS, max(0, int(np.ceil(np.log2(rows / PART_ROWS)))))
 
     def labels(self, vectors: np.ndarray) -> np.ndarray:
         """A LABEL_BITS-bit integer per vector and tree; its leading bits are the prefixes."""
         bits = ((_unit(vectors) - self.mean) @ self.planes > 0).reshape(len(vectors), TREES, LABEL_BITS)
         return bits @ (1 << np.arange(LABEL_BITS - 1, -1, -1, dtype=np.int64))
 
-    def _held(self, labels: np.ndarray) -> np.ndarray:
-        """[query, depth]: sample vectors below the query's prefix of that depth, summed over the trees."""
-        out = np.zeros((len(labels), LABEL_BITS + 1), np.int64)
-        for d in range(LABEL_BITS + 1):
-            rest = (1 << LABEL_BITS - d) - 1
-            for t in range(TREES):
-                low = labels[:, t] & ~rest
-                out[:, d] += np.searchsorted(self.sorted[:, t], low | rest, "right") - np.searchsorted(self.sorted[:, t], low)
-        return out
+    def part(self, labels: np.ndarray) -> np.ndarray:
+        return labels >> (LABEL_BITS - self.part_bits)
+
+    def sampled(self, labels: np.ndarray, tree: int) -> np.ndarray:
+        """[query, depth]: sample vectors below the query's prefix of that depth in a tree."""
+        return _below(self.sorted[:, tree], np.arange(len(self.sorted) + 1), labels)
+
+    def held(self, tree: int, strings: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """[query, depth]: vectors below the queries' prefixes; strings (sorted) and counts are those of the queries' part."""
+        inside = _below(strings, np.concatenate([[0], np.cumsum(counts)]), labels).astype(np.float64)
+        sample = self.sampled(labels, tree)
+        around = sample[:, : self.part_bits] - sample[:, self.part_bits : self.part_bits + 1]
+        inside[:, : self.part_bits] += around * (self.rows / len(self.sorted))
+        return inside
 
     def _calibrate(self, x: np.ndarray, labels: np.ndarray, near: int) -> float:
         """Vectors below the prefixes, as a share of all, with which TARGET_RECALL of the sample's true neighbours are found."""
@@ -93,25 +107,22 @@ class Forest:
         common = np.zeros((len(q), near), np.int64)  # the longest prefix shared in any tree
         for t in range(TREES):
             differ = labels[q, t][:, None] ^ labels[true, t]
-            common = np.maximum(common, LABEL_BITS - np.ceil(np.log2(differ + 1)).astype(np.int64))
-        held = self._held(labels[q])
+            common = np.maximum(common, LABEL_BITS - np.frexp(differ.astype(np.float64))[1])
+        held = sum(self.sampled(labels[q, t], t) for t in range(TREES))
         for need in np.unique(np.geomspace(near * TREES, TREES * len(x), 200).astype(np.int64)):
-            depth = self._depth(held, need)
+            depth = np.where(held >= need, np.arange(held.shape[1]), 0).max(1)
             if (common >= depth[:, None]).mean() >= TARGET_RECALL:
                 return need / len(x)
         return TREES * 1.0
 
-    @staticmethod
-    def _depth(held: np.ndarray, need: float) -> np.ndarray:
-        """Coming up from the deepest level in all trees at once, the first depth that holds enough (0: everything)."""
-        return np.where(held >= need, np.arange(held.shape[1]), 0).max(1)
 
-    def ranges(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[query, tree]: first and last label below the query's final prefix."""
-        labels = self.labels(vectors)
-        depth = self._depth(self._held(labels), self.need * len(self.sorted))
-        rest = ((1 << (LABEL_BITS - depth)) - 1)[:, None]
-        return labels & ~rest, labels | rest
+def _below(strings: np.ndarray, sums: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """[query, depth]: what the sorted strings hold below the queries' prefixes of each depth; sums are running counts."""
+    out = np.zeros((len(labels), LABEL_BITS + 1), np.int64)
+    for d in range(LABEL_BITS + 1):
+        rest = (1 << LABEL_BITS - d) - 1
+        out[:, d] = sums[np.searchsorted(strings, labels | rest, "right")] - sums[np.searchsorted(strings, labels & ~rest)]
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -126,25 +137,31 @@ def _best(q: pd.DataFrame, items: pd.DataFrame, near: int) -> pd.DataFrame:
     labels = items["label"].to_numpy()[order]
     x = np.stack(items["embedding"].to_numpy()[order]).astype(np.float64)
     x_norm = np.sqrt((x * x).sum(1))
-    first = np.fromiter((i[0] for i in items["ids"]), np.int64, len(items))[order]
+    first = items["first"].to_numpy()[order]
     out = []
     start = np.searchsorted(labels, q["low"].to_numpy())
     end = np.searchsorted(labels, q["high"].to_numpy(), "right")
     for k, (a, b) in enumerate(zip(start, end, strict=True)):
         if a < b:
             v = np.asarray(q["embedding"].iat[k], np.float64)
-            cos = (x[a:b] @ v) / (x_norm[a:b] * np.sqrt(v @ v))
-            best = np.lexsort((first[a:b], -cos))[:near] if b - a <= 4 * near else _top(cos, first[a:b], near)
-            out.append((k, order[a + best], cos[best]))
-    rows = [(q["h1"].iat[k], q["h2"].iat[k], items["h1"].iat[i], items["h2"].iat[i], items["ids"].iat[i], float(c)) for k, at, cs in out for i, c in zip(at, cs, strict=True)]
-    return pd.DataFrame(rows, columns=FOUND)
-
-
-def _top(cos: np.ndarray, ids: np.ndarray, near: int) -> np.ndarray:
-    """The first ``near`` by falling cosine and rising id; all that tie with the last are looked at."""
-    last = np.partition(cos, len(cos) - near)[len(cos) - near]
-    at = np.flatnonzero(cos >= last)
-    return at[np.lexsort((ids[at], -cos[at]))[:near]]
+            norm = np.sqrt(v @ v)
+            at = a + _leading((x[a:b] @ v) / (x_norm[a:b] * norm), near)
+            # Again row by row, so that a score doesn't depend on the part that it is found in.
+            cos = (x[at] * v).sum(1) / (x_norm[at] * norm)
+            best = np.lexsort((first[at], -cos))[:near]
+            out.append((np.full(len(best), k), order[at[best]], cos[best]))
+    if not out:
+        return pd.DataFrame([], columns=FOUND)
+    who, at, cos = (np.concatenate(c) for c in zip(*out, strict=True))
+    own, found = q.iloc[who], items.iloc[at]
+    return pd.DataFrame(dict(zip(FOUND, (own["h1"].to_numpy(), own["h2"].to_numpy(), *(found[c].to_numpy() for c in ("h1", "h2", "first")), cos), strict=True)))
+
+
+def _leading(cos: np.ndarray, near: int) -> np.ndarray:
+    """Where the ``near`` largest are, with all that tie with the last but for rounding."""
+    if len(cos) <= near:
+        return np.arange(len(cos))
+    return np.flatnonzero(cos >= np.partition(cos, len(cos) - near)[len(cos) - near] - 1e-12)
 
 
 def search(vectors: DataFrame, is_query, near: int = 5) -> DataFrame:
@@ -166,53 +183,79 @@ def search(vectors: DataFrame, is_query, near: int = 5) -> DataFrame:
         sample = np.array([x["embedding"] for x in sorted(rows, key=lambda x: x["h1"])[:SAMPLE_ROWS]], np.float64)
         if len(sample):
             forests[r["dim"]] = Forest(sample, r["count"], near)
-    sent = vectors.sparkSession.sparkContext.broadcast({d: (f.mean, f.planes, f.sorted, f.need, f.bounds) for d, f in forests.items()})
+    sent = vectors.sparkSession.sparkContext.broadcast(forests)
 
-    def forest(dim: int) -> Forest:
-        f = object.__new__(Forest)
-        f.mean, f.planes, f.sorted, f.need, f.bounds = sent.value[dim]
-        return f
+    def by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Forest, pa.RecordBatch]]:
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                if d in sent.value:
+                    yield d, sent.value[d], b.filter(pa.array(dims == d))
+
+    def bins(dim: int, tree: int, part: np.ndarray) -> np.ndarray:
+        """One number for dimension, tree and part; a part has at most 40 bits."""
+        return (np.int64(dim * TREES + tree) << 40) + part
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per tree of every vector: its part and its string, with the vector's key."""
+        for d, f, b in by_dim(batches):
+            labels = f.labels(_matrix(b.column("embedding")))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(bins(d, t, f.part(labels[:, t]))), pa.array(labels[:, t]), b.column("h1"), b.column("h2")], ["bin", "label", "h1", "h2"])
 
-    def by_dim(b: pa.RecordBatch) -> Iterator[tuple[Forest, pa.RecordBatch]]:
-        dims = b.column("dim").to_numpy()
-        for d in np.unique(dims):
-            if int(d) in sent.value:
-                yield forest(int(d)), b.filter(pa.array(dims == d))
+    def descend(key: tuple, q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        """What a tree holds below each prefix of the queries, and how much is enough."""
+        dim, tree = divmod(int(key[0]) >> 40, TREES)
+        f = sent.value[dim]
+        items = items.sort_values("label")
+        held = f.held(tree, items["label"].to_numpy(np.int64), items["n"].to_numpy(np.int64), q["label"].to_numpy(np.int64))
+        return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "held": list(held), "enough": f.need * f.rows})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per tree of every vector: its part and its label."""
-        for b in batches:
-            for f, part in by_dim(b):
-                labels = f.labels(_matrix(part.column("embedding")))
-                for t in range(TREES):
-                    at = np.searchsorted(f.bounds[:, t], labels[:, t], "right")
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(labels[:, t]), *(part.column(c) for c in ("dim", "h1", "h2", "ids", "embedding"))], ["tree", "part", "label", "dim", "h1", "h2", "ids", "embedding"])
+        """A row per tree of every vector, with the vector."""
+        for d, f, b in by_dim(batches):
+            labels = f.labels(_matrix(b.column("embedding")))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(bins(d, t, f.part(labels[:, t]))), pa.array(labels[:, t]), *(b.column(c) for c in ("h1", "h2", "first", "embedding"))], ["bin", "label", "h1", "h2", "first", "embedding"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per tree and part that a query's final prefix reaches."""
-        for b in batches:
-            for f, part in by_dim(b):
-                low, high = f.ranges(_matrix(part.column("embedding")))
-                for t in range(TREES):
-                    a = np.searchsorted(f.bounds[:, t], low[:, t], "right")
-                    z = np.searchsorted(f.bounds[:, t], high[:, t], "right")
-                    who = np.repeat(np.arange(len(a)), z - a + 1)
-                    at = a[who] + np.arange(len(who)) - np.repeat(np.cumsum(z - a + 1) - (z - a + 1), z - a + 1)
-                    own = part.take(pa.array(who))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(low[who, t]), pa.array(high[who, t]), *(own.column(c) for c in ("dim", "h1", "h2", "embedding"))], ["tree", "part", "low", "high", "dim", "h1", "h2", "embedding"])
+        for d, f, b in by_dim(batches):
+            labels = f.labels(_matrix(b.column("embedding")))
+            rest = (np.int64(1) << (LABEL_BITS - b.column("depth").to_numpy().astype(np.int64))) - 1
+            for t in range(TREES):
+                low, high = labels[:, t] & ~rest, labels[:, t] | rest
+                a, z = f.part(low), f.part(high)
+                who = np.repeat(np.arange(len(a)), z - a + 1)
+                part = a[who] + np.arange(len(who)) - np.repeat(np.cumsum(z - a + 1) - (z - a + 1), z - a + 1)
+                own = b.take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([pa.array(bins(d, t, part)), pa.array(low[who]), pa.array(high[who]), *(own.column(c) for c in ("h1", "h2", "embedding"))], ["bin", "low", "high", "h1", "h2", "embedding"])
 
     kind = dict(index.dtypes)["embedding"]
-    items = index.mapInArrow(place, f"tree int, part int, label long, dim int, h1 long, h2 long, ids array<long>, embedding {kind}")
     asked = v.filter(is_query).dropDuplicates(["h1", "h2"])
-    asked = asked.mapInArrow(ask, f"tree int, part int, low long, high long, dim int, h1 long, h2 long, embedding {kind}")
-    keys = ["dim", "tree", "part"]
+    counted = cut(index.mapInArrow(strings, "bin long, label long, h1 long, h2 long").groupBy("bin", "label").agg(F.count("*").alias("n")))
+    below = asked.mapInArrow(strings, "bin long, label long, h1 long, h2 long").groupBy("bin").cogroup(counted.groupBy("bin"))
+    trees = below.applyInPandas(lambda key, q, i: descend(key, q, i) if len(q) else pd.DataFrame([], columns=["h1", "h2", "held", "enough"]), "h1 long, h2 long, held array<double>, enough double")
+    together = trees.groupBy("h1", "h2").agg(F.collect_list("held").alias("held"), F.first("enough").alias("enough"))
+    levels = F.sequence(F.lit(0), F.lit(LABEL_BITS))
+    total = lambda d: F.aggregate("held", F.lit(0.0), lambda a, x: a + x[d])
+    depths = together.select("h1", "h2", F.array_max(F.transform(levels, lambda d: F.when(total(d) >= F.col("enough"), d).otherwise(0))).alias("depth"))
+
+    large = cut(counted.groupBy("bin").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * PART_ROWS).select("bin", F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int").alias("pieces")))
+    large = F.broadcast(large) if at_most(large, LARGE_PARTS) else large
+    items = index.withColumn("first", F.col("ids")[0]).mapInArrow(place, f"bin long, label long, h1 long, h2 long, first long, embedding {kind}")
+    items = items.join(large, "bin", "left").withColumn("piece", F.coalesce(F.pmod("h1", "pieces").cast("int"), F.lit(0))).drop("pieces")
+    asks = asked.join(depths, ["h1", "h2"]).mapInArrow(ask, f"bin long, low long, high long, h1 long, h2 long, embedding {kind}")
+    asks = asks.join(large, "bin", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
 
     def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         return _best(q, i, keep) if len(q) and len(i) else pd.DataFrame([], columns=FOUND)
 
-    found = asked.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(meet, "h1 long, h2 long, i1 long, i2 long, ids array<long>, score double")
-    once = found.groupBy("h1", "h2", "i1", "i2").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
-    each = once.select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
+    found = asks.groupBy("bin", "piece").cogroup(items.groupBy("bin", "piece")).applyInPandas(meet, "h1 long, h2 long, i1 long, i2 long, first long, score double")
+    once = found.groupBy("h1", "h2", "i1", "i2").agg(F.first("first").alias("first"), F.max("score").alias("score"))
+    near_first = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "first")
+    few = once.withColumn("r", F.row_number().over(near_first)).filter(F.col("r") <= keep).drop("r", "first")
+    each = few.join(index.select(F.col("h1").alias("i1"), F.col("h2").alias("i2"), "ids"), ["i1", "i2"]).select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     best = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
     queries = v.filter(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(best, ["h1", "h2"])
