@@ -1,15 +1,16 @@
 """Line de-duplication across documents (native: DataFrame functions only).
 
-Hashes of line keys are range-partitioned together with the document id and sorted by hash, document
-and position, so a key held by a third of all documents spreads over many partitions. Streaming over
-that order yields one entry per (key, document); counting these per key, after a map-side combine,
-tells the repeated keys and the document that keeps them. The result is a compressed keep bitmap per
-document (runs of kept lines), not text; ``apply_bitmaps`` joins it to the texts.
+Each text is split once, into hashes of its line keys, and these are written. They are partitioned by
+range of hash and document and sorted by hash, document and position, so a key held by a third of all
+documents spreads over many partitions. A window over that order, which moves nothing more, streams
+the first occurrence of every key in every document; counting these per key, after a map-side
+combine, tells the repeated keys and the document that keeps them. The result is a compressed keep
+bitmap per document (runs of kept lines), not text; ``apply_bitmaps`` joins it to the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import BLANKS, at_most, bind, cut
@@ -37,11 +38,17 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, th, pos) of the first line of every key in every document, in the order of a sorted stream."""
+    ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "th")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "th"))
+    return ordered.withColumn("place", place).filter("place = 1").drop("place")
+
+
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, keeper) of the keys in min_docs documents or more; keeper is the largest doc_id."""
-    ordered = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    first = ordered.groupBy("h1", "h2", "doc_id").agg(F.first("pos").alias("pos"))
-    return first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    by_key = first_occurrences(lines).groupBy("h1", "h2").agg(F.count("pos").alias("n"), F.max("doc_id").alias("keeper"))
+    return by_key.filter(F.col("n") >= min_docs).drop("n")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -51,7 +58,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     last run open-ended (len null). Nulls: a row without doc_id holds no keys and loses nothing; a null
     text is one empty line. Rows that share a doc_id count as one document. Extra columns are ignored.
     """
-    lines = line_hashes(docs, min_chars)
+    lines = cut(line_hashes(docs, min_chars))
     keys = cut(repeated_keys(lines, min_docs))
     small = F.broadcast(keys) if at_most(keys, BROADCAST_KEYS) else keys
     lost = lines.join(small, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
@@ -104,7 +111,12 @@ FROM m GROUP BY doc_id
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, n_lines, n_dropped, kept_sha256."""
+    """Rows of the query: doc_id, n_lines, n_dropped, kept_sha256.
+
+    A null or empty text is one empty line, a very long one is split like any other. Rows that share an
+    id count as one document, repeated rows as well; each gives a row. A row without an id keeps all
+    its lines. Extra columns are ignored; an empty table gives no rows.
+    """
     narrow = docs.select("doc_id", "text")
     out = apply_bitmaps(narrow, keep_bitmaps(narrow))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
