@@ -1,11 +1,12 @@
 """Main text of web pages by tree scoring.
 
 The page is cut into tags and text by one regular expression and read into a tree (implied end tags
-included). Parts that are no article by their element, role or class name go with all they hold. Each
-block with text of its own is a paragraph: it passes points for length and commas to its ancestors,
-less the further up, and an ancestor's sum is discounted by the share of its text that is links. The
-best container, widened to the article or main element around it, and its siblings that score or read
-like text are kept.
+included). Parts that are no article by their element, role or class name go with all they hold, but
+for wrappers that hold most of the page's text and for the headers of the article itself. Each block
+with text of its own is a paragraph: it passes points for length and commas to its ancestors, less
+the further up, and an ancestor's sum is discounted by the share of its text that is links. The best
+container, widened to the article or main element around it, and its siblings that score or read like
+text are kept. Lists of links go where they stand outside that container or open it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address hgroup details summary center fieldset hr".split()
 )
-DROPPED = frozenset("head nav footer header aside form button select option menu dialog canvas object applet audio video map label legend input".split())
+DROPPED = frozenset("head nav footer button select option menu dialog canvas object applet audio video map label legend input".split())
+#: Elements that go unless they wrap the article or, for a header, belong to it.
+DOUBTFUL = frozenset("header aside form".split())
 CONTAINERS = frozenset("html body main article section div td th table tbody tr ul ol dl blockquote figure center details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BONUS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0}
@@ -49,35 +52,41 @@ BOILERPLATE = frozenset(
     "form search searchbox searchform hidden tagcloud taglist outbrain taboola paywall teaser".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion reactions".split())
+ADVERTS = frozenset("ad ads adsense advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promos promotion promoted banner banners outbrain taboola".split())
 NEGATIONS = frozenset("no with has without".split())
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 HALVINGS = 3
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _mark(tag: str, attributes: str, in_article: bool) -> str:
+    """What tells that an element is no part of the article: "gone" for good, "form", "header" or "name" in doubt, "" if nothing does."""
     if tag in DROPPED:
-        return True
+        return "gone"
+    own = tag if tag in ("form", "header") else "name" if tag in DOUBTFUL else ""
     if not attributes.strip() or tag in ("html", "body"):
-        return False
+        return own
     named = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or named.get("role", "").lower() in ROLES:
-        return True
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true":
+        return "gone"
     if "style" in named and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named["style"], re.I):
-        return True
-    marks = COMMENTS if tag in ("article", "main") else BOILERPLATE
+        return "gone"
+    if (role := named.get("role", "").lower()) in ROLES:
+        return "form" if role == "form" else "name"
+    marks = COMMENTS if tag in ("article", "main") else ADVERTS if in_article and tag in TABLE else BOILERPLATE
     for name in f"{named.get('class', '')} {named.get('id', '')}".split():
         words = [w for w in WORD_SPLIT.split(CAMEL.sub("-", unescape(name)).lower()) if w and not w.isdigit()]
         if words and words[0] not in NEGATIONS and (words[0] in marks or words[-1] in marks):
-            return True
-    return False
+            return "gone" if words[0] in COMMENTS or words[-1] in COMMENTS else "header" if words[-1] == "header" else "name"
+    return own
 
 
 class Tree:
-    """Nodes in page order: tag ("" for text), parent, nearest block, text; nothing of dropped parts but their root."""
+    """Nodes in page order: tag ("" for text), parent, nearest block, text, mark; nothing of parts gone for good but their root."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.block, self.text, self.link = ["body"], [-1], [0], [""], [False]
+        self.tag, self.parent, self.block, self.text, self.link, self.mark, self.article = ["body"], [-1], [0], [""], [False], [""], [False]
         self.page, self.stack, self.dropped = page, [0], -1  # dropped: stack height at which a dropped part began
         at = 0
         find, n = TOKEN.search, len(page)
@@ -110,6 +119,8 @@ class Tree:
         self.block.append(k if tag in BLOCKS else self.block[up])
         self.text.append(text)
         self.link.append(tag == "a" or self.link[up])
+        self.mark.append("")
+        self.article.append(tag in ("article", "main") or self.article[up])
         return k
 
     def _text(self, raw: str) -> None:
@@ -119,7 +130,7 @@ class Tree:
     def _open(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED or tag in DOUBTFUL:
             self._end({"p"}, BLOCKS - {"p", *HEADINGS})
         if tag in ENDS:
             self._end(ENDS[tag], BOUNDS)
@@ -130,11 +141,12 @@ class Tree:
         if tag in VOID:
             self._add(tag, " " if tag == "br" else "")
             return
-        gone = _boilerplate(tag, attributes)
-        if gone:
+        mark = _mark(tag, attributes, self.article[self.stack[-1]])
+        if mark:
             self._add("hr")  # a break between what is before and after
         self.stack.append(self._add(tag))
-        if gone:
+        self.mark[-1] = mark
+        if mark == "gone":
             self.dropped = len(self.stack) - 1
         if attributes.endswith("/") and tag not in BLOCKS:
             self._close(tag)
@@ -160,7 +172,7 @@ class Tree:
             if self.tag[self.stack[k]] == tag:
                 self._cut(k)
                 return
-            if tag not in BLOCKS and tag not in DROPPED and self.tag[self.stack[k]] in BLOCKS:
+            if tag not in BLOCKS and tag not in DROPPED and tag not in DOUBTFUL and self.tag[self.stack[k]] in BLOCKS:
                 return  # an inline end tag doesn't close blocks around it
 
     def _cut(self, k: int) -> None:
@@ -169,23 +181,67 @@ class Tree:
             self.dropped = -1
 
 
+def _add_up(t: Tree, *sums: list) -> None:
+    """Make every node's number the sum of its subtree's."""
+    for k in range(len(t.tag) - 1, 0, -1):
+        for x in sums:
+            x[t.parent[k]] += x[k]
+
+
+class Parts:
+    """Which nodes lie in marked parts (``out``); sums of text, links and headings with these parts included."""
+
+    def __init__(self, t: Tree):
+        self.t, n = t, len(t.tag)
+        self.size = [len(x.strip()) for x in t.text]
+        self.links = [a if b else 0 for a, b in zip(self.size, t.link, strict=True)]
+        self.headings = [int(tag in HEADINGS) for tag in t.tag]
+        centre = [int(tag in ("article", "main", "h1")) for tag in t.tag]
+        _add_up(t, self.size, self.links, self.headings, centre)
+        self.out = [False] * n
+        for k in range(1, n):
+            up, mark = t.parent[k], t.mark[k]
+            self.out[k] = self.out[up]
+            if mark and not self.out[up]:
+                # A wrapper, as a form around the whole page: most of the text that is no link and, but for forms, an article or h1.
+                wraps = mark != "gone" and 2 * (self.size[k] - self.links[k]) > self.size[0] - self.links[0] and (mark == "form" or centre[k] > 0)
+                self.out[k] = not (wraps or (t.article[up] and self.titles(k)))
+
+    def titles(self, k: int) -> bool:
+        """Whether a part is a header with a heading and more text than links."""
+        return self.t.mark[k] == "header" and self.headings[k] > 0 and 2 * self.links[k] <= self.size[k]
+
+    def end(self, k: int) -> int:
+        """Where the subtree of a node ends: nodes are in page order."""
+        e = k + 1
+        while e < len(self.t.tag) and self.t.parent[e] >= k:
+            e += 1
+        return e
+
+    def take_back(self, k: int) -> None:
+        """Count a marked part as no longer left out, but for marked parts within it."""
+        self.out[k] = False
+        for x in range(k + 1, self.end(k)):
+            self.out[x] = self.out[self.t.parent[x]] or self.t.mark[x] != ""
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by an empty line; empty if there is none."""
     if not page:
         return ""
     t = Tree(page)
     n = len(t.tag)
+    parts = Parts(t)
+    out = parts.out
     size, links, own, commas = [0] * n, [0] * n, [0] * n, [0] * n
     for k in range(n):
-        if t.text[k]:
+        if t.text[k] and not out[k]:
             long = len(t.text[k].strip())
             size[k], links[k] = long, long if t.link[k] else 0
             if not t.link[k]:
                 own[t.block[k]] += long
                 commas[t.block[k]] += t.text[k].count(",") + t.text[k].count("，") + t.text[k].count("、")
-    for k in range(n - 1, 0, -1):
-        size[t.parent[k]] += size[k]
-        links[t.parent[k]] += links[k]
+    _add_up(t, size, links)
     if not size[0]:
         return ""
     score = [BONUS.get(tag, 0.0) for tag in t.tag]
@@ -199,7 +255,7 @@ def main_text(page: str | None) -> str:
                 score[up] += points / (1 << level)
                 up = t.parent[up]
     density = lambda k: links[k] / max(size[k], 1)
-    final = [s * (1 - density(k)) if t.tag[k] in CONTAINERS and size[k] else 0.0 for k, s in enumerate(score)]
+    final = [s * (1 - density(k)) if t.tag[k] in CONTAINERS and size[k] and not out[k] else 0.0 for k, s in enumerate(score)]
     best = max(range(n), key=lambda k: (final[k], -k))
     top, up = best, best
     while up > 0:
@@ -209,32 +265,39 @@ def main_text(page: str | None) -> str:
                 break
         up = t.parent[up]
     best = top
+    end = parts.end(best)
     kept = {best}
     if best > 0 and t.tag[best] not in ("article", "main"):
+        prose = [int(t.tag[k] in ("p", "pre", "blockquote") and own[k] > 0) for k in range(n)]
+        _add_up(t, prose)
         for k in range(1, n):
-            if t.parent[k] == t.parent[best] and k != best and size[k]:
-                reads = t.tag[k] in ("p", "pre", "blockquote") and density(k) < 0.25
-                if reads or t.tag[k] in HEADINGS or final[k] >= max(3.0, 0.2 * final[best]):
-                    kept.add(k)
+            beside = t.parent[k] == t.parent[best] and k != best
+            if beside and size[k] and ((prose[k] and density(k) < 0.25) or t.tag[k] in HEADINGS or final[k] >= max(3.0, 0.2 * final[best])):
+                kept.add(k)
+            # A header in the container, or before it within the same part of the page, is the article's own.
+            if out[k] and not out[t.parent[k]] and parts.titles(k) and (best < k < end or (beside and k < best and t.parent[k] > 0)):
+                parts.take_back(k)
+                kept.add(k)
     inside = [False] * n
     blocks: list[str] = []
-    parts: list[str] = []
+    now: list[str] = []
     last = -1
 
     def flush() -> None:
-        if text := " ".join("".join(parts).split()):
+        if text := " ".join("".join(now).split()):
             blocks.append(text)
-        parts.clear()
+        now.clear()
 
     for k in range(n):
         up = t.parent[k]
-        inside[k] = k in kept or (up >= 0 and inside[up])
-        if inside[k] and k not in kept and t.tag[k] in ("ul", "ol", "div", "section", "table", "p") and size[k] and density(k) > 0.5 and links[k] > 0 and not (t.tag[k] == "p" and own[k]):
-            inside[k] = False  # a list of links
+        inside[k] = (k in kept or (up >= 0 and inside[up])) and not out[k]
+        if inside[k] and k not in kept and t.tag[k] in ("ul", "ol", "div", "section", "table", "p") and links[k] > 0 and 2 * links[k] > size[k] and not (t.tag[k] == "p" and own[k]):
+            # Links: part of an article, or as a list or table of a container that has begun, but a menu elsewhere.
+            inside[k] = best < k < end and best > 0 and (t.article[k] or (bool(blocks or now) and t.tag[k] not in ("div", "section")))
         if t.tag[k] in BLOCKS or (inside[k] and t.block[k] != last):
             flush()
         if inside[k] and t.text[k]:
-            parts.append(t.text[k])
+            now.append(t.text[k])
             last = t.block[k]
         elif t.tag[k] in BLOCKS:
             last = t.block[k]
@@ -245,8 +308,9 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, keep: str = "page_id long, url string") -> DataFrame:
     """The kept columns with text and n_chars; maps over partitions without a shuffle.
 
-    Null and empty pages have an empty text. Only the html decides: nulls elsewhere, repeated rows and
-    clashing extra columns don't matter.
+    Null and empty pages have an empty text; a very long page is read whole. Only the html decides: nulls
+    elsewhere, repeated rows and clashing extra columns don't matter, of containers that tie the first in
+    page order is taken, and an empty table gives no rows.
     """
     names = [c.split(" ")[0] for c in keep.split(", ")]
 

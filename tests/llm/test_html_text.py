@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -29,6 +30,58 @@ def test_siblings_of_the_best_container_are_kept():
     assert H.main_text(page) == "\n\n".join([LONG, LONG, LONG + " end", LONG + " tail"])
 
 
+LINKS = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+JUNK = [
+    '<nav><a href=/>Home</a> <a href=/b>About</a></nav>',
+    '<div class="share-buttons"><a href=x>Share this, now, please</a></div>',
+    '<aside><p>Elsewhere, there is more, and more, to be read about it.</p></aside>',
+    '<script>var a = "<p>no</p>";</script>',
+    '<style>p { color: red }</style>',
+    '<form><label>Mail</label><input><button>Send</button></form>',
+    '<div class="comments"><p>First, I think, this is all wrong, or right, or neither.</p></div>',
+    '<div id="cookie-notice">We use cookies, of many kinds, for all, and everyone.</div>',
+    '<div style="display:none">Hidden, fully, from all readers, as it should be.</div>',
+    '<footer>Written by me</footer>',
+]
+
+
+def test_nothing_of_the_article_is_dropped():
+    """Titles in headers, lists of sources, linked paragraphs and marked tables are text of the article."""
+    body = f"<p>{LONG}</p><h2>References</h2>{LINKS}<p><a href=3>A paragraph that is one link</a></p>"
+    want = [LONG, "References", "First source", "Second source", "A paragraph that is one link"]
+    assert H.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header>{body}</article></body>") == "\n\n".join(["Title", "By me", *want])
+    assert H.main_text(f"<body><div class=page><div class='post-header'><h1>Title</h1></div><div class=content>{body}<p>{LONG} end</p></div></div></body>") == "\n\n".join(["Title", *want, LONG + " end"])
+    table = "<table class=legal><tr><td>Term</td><td class=notice>Meaning of it</td></tr></table>"
+    assert H.main_text(f"<article><p>{LONG}</p>{table}</article>") == "\n\n".join([LONG, "Term", "Meaning of it"])
+    assert H.main_text(f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Short, and kept.</p></div></div></body>") == "\n\n".join([LONG, LONG, "Short, and kept."])
+
+
+def test_wrappers_of_the_article_stay():
+    for wrapper in ('form action="/"', 'div class="page-with-sidebar"', 'div class="content-sidebar"', 'section id="widget"'):
+        page = f"<body><nav><a href=/>Home</a></nav><{wrapper}><input name=q><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class=sidebar><p>Side, side, side.</p></div></{wrapper.split()[0]}></body>"
+        assert H.main_text(page) == "\n\n".join(["Title", LONG, LONG]), wrapper
+    assert H.main_text(f"<body><article><p>Short.</p></article><div class=comments><p>{LONG}</p><h1>Me</h1></div></body>") == "Short."
+
+
+def test_composed_pages():
+    """Pages built of known blocks, with junk anywhere between them, in five layouts: the blocks come back, in order."""
+    rng = random.Random(8)
+    layouts = ["<article>{}</article>", "<main>{}</main>", "<div class=outer><div class=text>{}</div></div>", "<div id=content>{}</div>", "<section>{}</section>"]
+    for n in range(200):
+        blocks, parts = [], []
+        for k in range(rng.randint(4, 9)):
+            words = " ".join(rng.choice("river stone light under morning carried slowly seven".split()) for _ in range(rng.randint(12, 40)))
+            text = f"Block {k} {words}, and so on, until the end."
+            blocks.append(text)
+            tag = rng.choice(["p", "p", "p", "blockquote", "pre", "h2"])
+            parts.append(f"<{tag}>{text.replace(' ', rng.choice([' ', chr(10), '  ']), 3)}</{tag}>")
+            if rng.random() < 0.5:
+                parts.append(rng.choice(JUNK))
+        around = [rng.choice(JUNK) for _ in range(3)]
+        page = f"<html><body>{around[0]}{LINKS}{around[1]}{layouts[n % 5].format(''.join(parts))}{around[2]}</body></html>"
+        assert H.main_text(page) == "\n\n".join(blocks), page
+
+
 def test_broken_markup():
     assert H.main_text("<p>one<p>two <b>bold</p>tail") == "one\n\ntwo bold\n\ntail"
     assert H.main_text('<p title="it\'s>x">a < b</p><script>never closed') == "a < b"
