@@ -21,9 +21,10 @@ from chronolex.llm.common import held_out, slices
 #: n-grams fall into so many bins (a power of two); collisions are few among the n-grams of a language.
 BINS = 1 << 14
 MAX_N = 4
-#: The fit takes at most so many texts of each language, those whose ids hash lowest, for at most so many languages.
-PER_LANGUAGE, MAX_LANGUAGES = 160, 256
-LANDMARKS = 48  # of each language
+#: The fit takes so many texts of each language, those whose ids hash lowest, and fewer where there are so many languages
+#: that they would be over TEXTS together (down to one each). Texts of over TEXT_BYTES teach nothing: 256 MB at most.
+PER_LANGUAGE, TEXTS, TEXT_BYTES = 160, 4000, 1 << 16
+LANDMARKS, MARKS = 48, 1200  # of each language, and of all together
 RIDGE = 1e-3
 SHARPNESS = 6.0
 UNDETERMINED = "und"
@@ -53,8 +54,10 @@ def presence(texts: list[str]) -> np.ndarray:
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    return (a @ b.T) / np.sqrt(np.outer(np.maximum(a.sum(1), 1), np.maximum(b.sum(1), 1)))
+    right = b.T.astype(np.float32)
+    common = np.concatenate([a[i : i + 256].astype(np.float32) @ right for i in range(0, len(a), 256)])
+    sums = [np.maximum(x.sum(1, dtype=np.int64), 1).astype(np.float32) for x in (a, b)]
+    return common / np.sqrt(np.outer(*sums))
 
 
 class Model:
@@ -66,7 +69,8 @@ class Model:
         if not texts:
             return
         x, y = presence(texts), np.array([self.labels.index(v) for v in langs])
-        marks = x[np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(self.labels))])]
+        each = max(1, min(LANDMARKS, MARKS // len(self.labels)))
+        marks = x[np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(self.labels))])]
         values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])  # K_mm ** -1/2
@@ -91,20 +95,20 @@ def scores(texts: list[str], weights: np.ndarray, bias: np.ndarray) -> tuple[np.
 def fit(docs: DataFrame) -> Model:
     """Fit on the bounded sample: the texts whose ids hash lowest, by a threshold from each language's count.
 
-    Only the sample's texts reach the driver. A repeated row may be in the sample as often as it is there.
+    Only the sample's texts reach the driver; of rows that share an id and a language the smallest text
+    counts. Rows without id, language or letter teach nothing.
     """
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    keep = F.lit(False)
-    for r in counts:  # about twice the texts that are needed pass; the exact number is cut below
-        share = min(1.0, 2.0 * PER_LANGUAGE / r["count"] + 20.0 / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (order < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)))
-    rows = known.filter(keep).select("lang", order.alias("o"), "doc_id", "text").collect()
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= TEXT_BYTES))
+    place = F.xxhash64("doc_id", F.lit("sample")).cast("double") / float(1 << 64) + 0.5  # 0 to 1
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TEXTS).collect()
+    each = max(1, min(PER_LANGUAGE, TEXTS // max(len(counts), 1)))
+    # About twice the texts that are needed pass; the exact number is cut below.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * each + 20.0) / r["count"]) for r in counts], "lang string, share double")
+    rows = known.join(F.broadcast(shares), "lang").filter(place < F.col("share")).groupBy("lang", "doc_id", place.alias("o")).agg(F.min("text").alias("text")).collect()
     texts, langs, seen = [], [], {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["o"], r["doc_id"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["o"], r["doc_id"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= PER_LANGUAGE:
+        if seen[r["lang"]] <= each:
             texts.append(r["text"])
             langs.append(r["lang"])
     return Model(texts, langs)
@@ -135,6 +139,6 @@ def identify(docs: DataFrame, model: Model, keep: str) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, held_out, lang_pred, score."""
+    """Rows of the query: doc_id, held_out, lang_pred, score; nulls, empty and long texts, ties, repeated rows and empty tables as in ``identify``."""
     out = identify(docs, fit(docs), "doc_id long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -16,8 +16,9 @@ from chronolex.llm.common import SYMBOLS, WORD_RE, cut, without
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Parts of the key range of a source; the part that is sorted holds about 1 / PARTS of its documents.
-PARTS = 4096
+#: Parts of the key range for each factor of e. Whatever the weights, the logarithm of an exponential key has a density
+#: of 1 / e at most, so a part, and with it what is sorted, is expected to hold 1 / (e * PARTS) of a source's documents at most.
+PARTS = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -36,7 +37,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "source", size_of(F.col("text")).alias("size"), "text")
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
     d = d.withColumn("key", -F.log((bits + 0.5) / float(1 << 52)) / quality_weight(F.col("text"), F.col("size"))).drop("text")
-    return d.withColumn("part", F.floor((1.0 - F.exp(-F.col("key"))) * PARTS).cast("int"))
+    return d.withColumn("part", F.floor(F.log("key") * PARTS).cast("int"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:

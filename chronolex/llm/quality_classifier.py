@@ -24,6 +24,8 @@ BUCKETS, DIM = 1 << 16, 16
 N_GRAMS = (2, 3, 4, 5)
 #: The sample: labelled documents whose ids hash lowest.
 SAMPLE = 3000
+#: Longer texts teach nothing, so that the sample has 192 MB at most.
+TEXT_BYTES = 1 << 16
 EPOCHS, RATE, SEED = 6, 2.0, 7
 THRESHOLD = 0.7
 EMPTY_SCORE = 0.0
@@ -143,11 +145,14 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Train on labels of documents that are not held out; rows with a null id, quality or text teach nothing.
 
-    A document with several labels counts once, with the larger. Without any label every score is a half.
+    A document with several labels counts once, with the larger; of rows that share an id the smallest text
+    counts, and texts of over TEXT_BYTES teach nothing. Without any label every score is a half, as it is
+    after an empty table.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     sample = known.groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(SAMPLE)
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.filter(F.octet_length("text") <= TEXT_BYTES).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("q").alias("q")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["q"] for r in rows])
 
@@ -171,6 +176,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: str) -> DataF
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, held_out, score, predicted."""
+    """Rows of the query: doc_id, held_out, score, predicted.
+
+    A null or empty text scores 0, a very long one is scored whole. Rows without an id are scored and held
+    out by none. Repeated rows score alike; extra columns are ignored; an empty table gives no rows.
+    """
     out = scored(docs, fit(docs, labels), "doc_id long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

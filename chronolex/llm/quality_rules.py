@@ -87,7 +87,7 @@ def votes() -> dict[str, Column]:
         "dup_lines": _vote(never, F.col("n_dup_lines") > 0.05 * F.col("n_words")),
         "upper": _vote(never, F.col("n_upper") > 0.4 * F.col("word_chars")),
         "marks": _vote(never, rate("n_marks") > 0.2),
-        "variety": _vote(never, long & (F.col("n_distinct") < 0.25 * n) & (F.col("n_words") < 2000)),
+        "variety": _vote(never, long & (F.col("n_distinct") < 0.25 * F.least(n, F.lit(2000)))),
         "function_words": _vote(rate("n_short") > 0.1, long & (rate("n_short") < 0.02)),
         "prose": _vote(some & plain, never),
     }
@@ -146,5 +146,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query, with p_good besides."""
+    """Rows of the query, with p_good besides; nulls, empty and long texts, repeated rows and empty tables as in ``judge``."""
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")

@@ -6,7 +6,7 @@ import pandas as pd
 
 from chronolex.llm import line_dedup, mixing
 
-from . import test_pieces, test_simhash
+from . import test_near_copies, test_pieces
 from .helpers import SF, awkward, clashing, documents, duck
 
 
@@ -35,7 +35,8 @@ def test_stages_match_brute_force(spark):
     assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in got["lines"]} == lines
     assert all(r["n_chars"] == len(r["text"]) for r in got["lines"])
 
-    components = {d: c for d, _, c in test_simhash.brute([(r["doc_id"], r["text"]) for r in got["lines"]])}
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    components = dict(test_near_copies.brute([(r["doc_id"], lower(r["text"])) for r in got["lines"]]))
     assert by(got["near_duplicates"]) == by(r for r in got["lines"] if components[r["doc_id"]] == r["doc_id"])
 
     names, rows = duck(mixing.SQL, documents=pd.DataFrame(got["near_duplicates"]))
@@ -49,6 +50,14 @@ def test_stages_match_brute_force(spark):
 
 
 def test_awkward_rows(spark):
+    """Expected rows of each stage: nulls, blanks, a very long text, repeated rows."""
+    got = through(spark, clashing(awkward(spark)))
+    long = "word after word and then, one more " * 30_000
+    texts = lambda name: sorted(((r["doc_id"], r["text"]) for r in got[name]), key=str)
+    want = sorted([(902, long), (903, "same\nrow"), (903, "same\nrow"), (None, "no id but text")], key=str)
+    assert texts("language") == texts("lines") == want  # 900, 901 and 904 have no letter
+    assert texts("near_duplicates") == sorted({*want}, key=str)
+    assert {r["doc_id"] for r in got["encoding"]} == {r["doc_id"] for r in got["mixing"]}
     docs = clashing(awkward(spark))
     for name, stage in P.STAGES:
         docs = stage(spark, docs, SF)
