@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-#: Cells of the table that a word difference fills at most; longer pairs are replaced whole (fixed value).
+#: Cells of the table that a word difference fills at once; longer pairs are halved first, so there is no bound on them.
 CELLS = 400_000
 
 
@@ -55,29 +55,57 @@ def batches(events: DataFrame, by: list[str], key: str, at: str) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.sum(key).alias("key_sum"))
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of x with each prefix of y, from the empty one on, in two rows of memory."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for word in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == word)))
+    return row
+
+
+def _leaves(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of x and y, in order, whose longest common subsequences make up that of the whole, of CELLS cells at most (Hirschberg's halving)."""
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if b - a < 2 or (b - a) * (d - c) <= CELLS:
+            yield a, b, c, d
+            continue
+        half = (a + b) // 2
+        cut = c + int(np.argmax(_common(x[a:half], y[c:d]) + _common(x[half:b][::-1], y[c:d][::-1])[::-1]))
+        todo += [(half, b, cut, d), (a, half, c, cut)]
+
+
 def _operations(before: str | None, after: str | None) -> list[tuple[str, str]]:
     a, b = (before or "").split(), (after or "").split()
-    if len(a) * len(b) > CELLS:
-        return [(o, " ".join(w)) for o, w in (("-", a), ("+", b)) if w]
     codes = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
     x, y = (np.array([codes[w] for w in s], dtype=np.int64) for s in (a, b))
+    out: list[tuple[str, list[str]]] = []
+    for a0, a1, b0, b1 in _leaves(x, y):
+        for op, word in _steps(a[a0:a1], b[b0:b1], x[a0:a1], y[b0:b1]):
+            if out and out[-1][0] == op:
+                out[-1][1].append(word)
+            else:
+                out.append((op, [word]))
+    return [(o, " ".join(w)) for o, w in out]
+
+
+def _steps(a: list[str], b: list[str], x: np.ndarray, y: np.ndarray) -> Iterator[tuple[str, str]]:
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)  # common words of the rests from i and j on
     for i in range(len(a) - 1, -1, -1):
         row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (y == x[i]))
         best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and x[i] == y[j]:
-            op, word, i, j = "=", a[i], i + 1, j + 1
+            yield "=", a[i]
+            i, j = i + 1, j + 1
         elif i < len(a) and (j == len(b) or best[i + 1, j] >= best[i, j + 1]):
-            op, word, i = "-", a[i], i + 1
+            yield "-", a[i]
+            i += 1
         else:
-            op, word, j = "+", b[j], j + 1
-        if out and out[-1][0] == op:
-            out[-1][1].append(word)
-        else:
-            out.append((op, [word]))
-    return [(o, " ".join(w)) for o, w in out]
+            yield "+", b[j]
+            j += 1
 
 
 @F.pandas_udf(ArrayType(StructType().add("op", StringType()).add("words", StringType())))

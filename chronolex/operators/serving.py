@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.sources.storage import shared_folder
+
 
 def preferred(df: DataFrame, keys: list[str], preference: Column) -> DataFrame:
     """One row per key: the one with the largest preference (a struct). An aggregate, so it combines before the shuffle."""
@@ -40,11 +42,26 @@ def page(df: DataFrame, order: list, size: int, number: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(total))
 
 
+def places(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Every row with its place (from 1) in the order, a total one: ranges are sorted apart and counted, and only the counts come together."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    shared_folder(df.sparkSession)
+    d = d.checkpoint()
+    part = F.shiftright("_id", 33)
+    counts = d.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # a row per partition
+    at = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return d.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, at).drop("_id", "_part", "_before")
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
     """Value at index round(share * (n - 1)) of the sorted values of each key."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return d.filter(F.col("_i") == F.round(F.lit(share) * (F.col("_n") - 1)).cast("int")).select(*keys, F.col(value).alias(name))
+    n = df.groupBy(*keys, value).agg(F.count("*").alias("_m"))  # equal values combine before any of a key come together
+    up_to = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = n.withColumn("_upto", F.sum("_m").over(up_to)).withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys)))
+    at = F.round(F.lit(share) * (F.col("_n") - 1)).cast("long")
+    return d.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_m") <= at)).select(*keys, F.col(value).alias(name))
 
 
 def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -40,7 +40,7 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors stand for documents with the same id; an item asks with the vector of its number."""
     e = table(spark, sf_dir, "embeddings")
-    asks = e.join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id"))), F.expr("vec_id = item_id")).select("item_id", F.col("embedding").alias("asked"))
+    asks = e.join(R.small_side(table(spark, sf_dir, "benchmark").select(F.col("item_id")), R.BROADCAST_TERMS), F.expr("vec_id = item_id")).select("item_id", F.col("embedding").alias("asked"))
     return R.nearest(e.withColumnRenamed("vec_id", "doc_id"), asks, "item_id", "asked", "doc_id", "embedding", R.CANDIDATES)
 
 
@@ -95,7 +95,7 @@ def group_max_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def min_should_match_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets over the documents that match enough of an item's terms, not over the shown hits."""
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.size(F.array_distinct(R.tokens(F.col("text")))).alias("terms"))
-    enough = keyword_scores(spark, sf_dir).join(F.broadcast(terms), "item_id").filter(F.col("matched") >= R.least_matches(F.col("terms")))
+    enough = keyword_scores(spark, sf_dir).join(R.small_side(terms, R.BROADCAST_TERMS), "item_id").filter(F.col("matched") >= R.least_matches(F.col("terms")))
     return enough.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.count("*").alias("n"))
 
 
@@ -139,9 +139,13 @@ def contains_join_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docs.filter(F.size("w") >= n).select("doc_id", F.explode(keys).alias("key")).join(wanted, "key").join(R.small_side(long, 50_000), "key")
     hit = pairs.join(docs.select("doc_id", "t"), "doc_id").filter(F.col("t").contains(F.col("quote"))).select("item_id", "doc_id")
     short = items.filter(F.size("w") < n + 2)
-    if not short.isEmpty():
-        asked = short.agg(F.collect_list(F.struct("item_id", "quote")).alias("a"))
-        hit = hit.union(docs.crossJoin(F.broadcast(asked)).select("doc_id", "t", F.inline("a")).filter(F.col("t").contains(F.col("quote"))).select("item_id", "doc_id"))
+    if not short.isEmpty():  # by their longest inner word, which stands whole in the text; quotes of two words have none
+        inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+        asked = short.select("item_id", "quote", F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
+        held = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(R.small_side(asked.filter("word IS NOT NULL"), 50_000), "word")
+        met = held.join(docs.select("doc_id", "t"), "doc_id").filter(F.col("t").contains(F.col("quote"))).select("item_id", "doc_id")
+        tiny = R.small_side(asked.filter("word IS NULL").select("item_id", "quote"), 50_000)
+        hit = hit.union(met).union(docs.join(tiny, F.col("t").contains(F.col("quote"))).select("item_id", "doc_id"))
     return hit.distinct().groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -179,7 +183,7 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_in_other_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar row of every other label, one per label."""
     e = table(spark, sf_dir, "embeddings")
-    asks = e.join(F.broadcast(table(spark, sf_dir, "benchmark").select("item_id")), F.expr("vec_id = item_id"))
+    asks = e.join(R.small_side(table(spark, sf_dir, "benchmark").select("item_id"), R.BROADCAST_TERMS), F.expr("vec_id = item_id"))
     asked = asks.agg(F.collect_list(F.struct("item_id", F.col("label").alias("own"), F.col("embedding").alias("asked"))).alias("a"))
     met = e.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("doc_id"), "label", "embedding", F.inline("a")).filter("own <> label")
     scored = met.select("item_id", "label", "doc_id", F.round(R.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))

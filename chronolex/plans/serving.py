@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import serving as S
+from chronolex.operators.retrieval import small_side
 from chronolex.plans.catalog import query, table
 from chronolex.plans.versions import CHAIN_SQL, orders_chain
 
@@ -52,12 +53,12 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page(o, [F.desc("o_totalprice"), "o_orderkey"], 20, 3)
 
 
-@query("severity_sort_rank", "SELECT o_orderkey, rank() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@query("severity_sort_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS place FROM orders")
 def severity_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred by severity, newest first; the ranks are those of the sorted head."""
+    """All orders by severity, newest first, with their places."""
     level = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    head = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", level.alias("level")).orderBy("level", F.desc("o_orderdate"), "o_orderkey").limit(100)
-    return head.withColumn("place", F.rank().over(Window.orderBy("level", F.desc("o_orderdate"), "o_orderkey"))).select("o_orderkey", "place")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", level.alias("level"))
+    return S.places(d, [F.col("level"), F.desc("o_orderdate"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 
 
 @query("semi_has_current", f"WITH {CHAIN_SQL} SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND state = 'CURRENT')")
@@ -245,13 +246,16 @@ def business_day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "corpus_fingerprint",
-    """SELECT lang, md5(string_agg(CAST(doc_id AS VARCHAR) || ':' || md5(text), ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang""",
+    """WITH b AS (SELECT lang, doc_id // 1000 AS block, md5(string_agg(CAST(doc_id AS VARCHAR) || ':' || md5(text), ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT lang, md5(string_agg(digest, ',' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY lang""",
 )
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest per language over the ordered hashes of all documents: rebuild only where it changed."""
+    """A digest per language over the ordered hashes of all documents, by way of digests of a thousand ids each: rebuild only where it changed."""
+    ordered = lambda k, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda x: x[v]), ",")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text"))
-    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("a"), F.count("*").alias("n"))
-    return d.select("lang", F.md5(F.array_join(F.transform("a", lambda x: x["l"]), ",")).alias("digest"), "n")
+    d = table(spark, sf_dir, "documents").select("lang", F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", line.alias("line"))
+    b = d.groupBy("lang", "block").agg(F.md5(ordered("doc_id", "line")).alias("digest"), F.count("*").alias("n"))
+    return b.groupBy("lang").agg(F.md5(ordered("block", "digest")).alias("digest"), F.sum("n").alias("n"))
 
 
 @query(
@@ -336,7 +340,7 @@ def path_subtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
     paths = c.select(F.concat_ws(".", "n_regionkey", "n_nationkey", "c_custkey").alias("path"))
     tops = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_regionkey").cast("string").alias("top"))
-    return paths.withColumn("top", F.split_part("path", F.lit("."), F.lit(1))).join(F.broadcast(tops), "top").groupBy("r_regionkey").agg(F.count("*").alias("below"))
+    return paths.withColumn("top", F.split_part("path", F.lit("."), F.lit(1))).join(small_side(tops, 100_000), "top").groupBy("r_regionkey").agg(F.count("*").alias("below"))
 
 
 @query(
@@ -352,7 +356,7 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     norms = k.groupBy(bare("n_name").alias("norm")).agg(F.count("*").alias("same"), F.min("n_nationkey").alias("by_norm")).filter("same = 1").drop("same")
     c, n = F.col("c_custkey") % 3, F.col("c_nationkey").cast("string")
     asks = table(spark, sf_dir, "customer").select(F.when(c == 0, F.concat(F.lit("NATION_"), n)).when(c == 1, F.concat(F.lit("Nation"), n)).otherwise(F.concat(F.lit("Land "), n)).alias("q")).distinct()
-    d = asks.join(F.broadcast(k.withColumnRenamed("n_name", "q")), "q", "left").withColumn("norm", bare("q")).join(F.broadcast(norms), "norm", "left")
+    d = asks.join(small_side(k.withColumnRenamed("n_name", "q"), 100_000), "q", "left").withColumn("norm", bare("q")).join(small_side(norms, 100_000), "norm", "left")
     how = F.when(F.col("n_nationkey").isNotNull(), "exact").when(F.col("by_norm").isNotNull(), "normalised").otherwise("unresolved")
     return d.select("q", F.coalesce("n_nationkey", "by_norm").alias("n_nationkey"), how.alias("how"))
 
@@ -373,9 +377,8 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("drop_ok", F.col("next") * 100 >= F.col("chunks") * 98)
 
 
-@query("natural_path_sort", "SELECT p_partkey, row_number() OVER (ORDER BY split_part(p_brand, '#', 1), CAST(split_part(p_brand, '#', 2) AS INTEGER), p_name, p_partkey) AS place FROM part ORDER BY place LIMIT 200")
+@query("natural_path_sort", "SELECT p_partkey, row_number() OVER (ORDER BY split_part(p_brand, '#', 1), CAST(split_part(p_brand, '#', 2) AS INTEGER), p_name, p_partkey) AS place FROM part")
 def natural_path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digit runs sort as numbers; the first two hundred."""
+    """All parts in an order in which digit runs sort as numbers, with their places."""
     order = [F.split_part("p_brand", F.lit("#"), F.lit(1)), F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int"), F.col("p_name"), F.col("p_partkey")]
-    head = table(spark, sf_dir, "part").orderBy(*order).limit(200)
-    return head.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("p_partkey", "place")
+    return S.places(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), order, "place").select("p_partkey", "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import dates as T
 from chronolex.functions import text as X
+from chronolex.operators.retrieval import small_side
 from chronolex.plans.catalog import query, table
 
 
@@ -87,7 +88,7 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = docs.select("source", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), key))).alias("line")).filter("line <> ''")
     n = keys.groupBy("source", F.md5("line").alias("key")).agg(F.count("*").alias("n")).filter("n >= 3")
     total = docs.groupBy("source").agg(F.count("*").alias("docs"))
-    return n.join(F.broadcast(total), "source").filter("n * 100 >= docs * 3").select("source", "key", "n")
+    return n.join(small_side(total, 100_000), "source").filter("n * 100 >= docs * 3").select("source", "key", "n")
 
 
 @query(

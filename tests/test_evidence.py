@@ -60,8 +60,15 @@ def test_word_difference_keeps_the_longest_common_words(spark):
         assert r.kept == common((r.a or "").split(), (r.b or "").split())
 
 
-def test_long_texts_are_replaced_whole():
-    assert R._operations("a " * 700, "a " * 600) == [("-", ("a " * 700).strip()), ("+", ("a " * 600).strip())]
+def test_long_texts_are_compared_word_by_word():
+    same = R._operations("a " * 700, "a " * 600)
+    assert [sum(len(w.split()) for o, w in same if o == k) for k in "=-+"] == [600, 100, 0]
+    rng = random.Random(3)
+    old = [rng.choice("abcdefgh") for _ in range(1500)]
+    new = [w if rng.random() < 0.8 else rng.choice("xyz") for w in old if rng.random() < 0.9]
+    out = R._operations(" ".join(old), " ".join(new))
+    words = lambda *ops: [w for o, t in out if o in ops for w in t.split()]
+    assert words("=", "-") == old and words("=", "+") == new and len(words("=")) == common(old, new)
 
 
 def test_row_sets_with_nulls_and_repeats(spark):
