@@ -24,9 +24,14 @@ def glyphs(text: Column) -> Column:
     t = F.regexp_replace(text, RULED, " ")
     for glyph, character in GLYPHS.items():
         t = F.replace(t, F.lit(glyph), F.lit(character))
-    parts = F.split(t, QUOTE)
-    paired = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.when(i == F.size(parts) - 1, "").when(i % 2 == 0, "“").otherwise("”"))), "")
-    return F.when(F.size(parts) % 2 == 1, paired).otherwise(F.replace(t, F.lit(QUOTE), F.lit(" ")))
+
+    def turned(x: Column) -> Column:
+        n = F.size(x["parts"])
+        paired = F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.when(i == n - 1, "").when(i % 2 == 0, "“").otherwise("”"))), "")
+        return F.when(n % 2 == 1, paired).otherwise(F.array_join(x["parts"], " "))
+
+    # As a lambda's variable the parts are computed once, not for each of them.
+    return F.transform(F.array(F.struct(F.split(t, QUOTE).alias("parts"))), turned)[0]
 
 
 def path_label(path: Column) -> Column:
