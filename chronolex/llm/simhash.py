@@ -31,28 +31,29 @@ BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SMALL = 4
 
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """XXH64 of every shingle of the text's words in lower case (A-Z only)."""
+def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
+    """XXH64 of every shingle of ``size`` words in lower case (A-Z only); a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
-    if len(words) <= WORDS:
-        return [xxhash.xxh64_intdigest(joined, SEED)] if words else []
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -WORDS] + 1])
+    starts = np.concatenate([[0], ends[:-size] + 1])
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[WORDS - 1 :].tolist(), strict=True)]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
-def fingerprints(texts: list[str | None]) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' hashes."""
-    hashes = [shingle_hashes(t) for t in texts]
+def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
+    """64-bit fingerprint of each text's shingle hashes: a bit is set if it is set in over half of them."""
+    out = np.zeros(len(hashes), np.uint64)
+    if not hashes:
+        return out
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(texts)), counts)
-    out = np.zeros(len(texts), np.uint64)
+    flat = np.concatenate(hashes)
+    owner = np.repeat(np.arange(len(hashes)), counts)
     for k in range(8):
         byte = ((flat >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-        seen = np.bincount(owner * 256 + byte, minlength=len(texts) * 256).reshape(-1, 256) @ BIT_OF_BYTE
+        seen = np.bincount(owner * 256 + byte, minlength=len(hashes) * 256).reshape(-1, 256) @ BIT_OF_BYTE
         bits = (2 * seen > counts[:, None]).astype(np.uint64)
         out |= (bits << np.arange(8 * k, 8 * k + 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
     return out
@@ -65,7 +66,7 @@ def fingerprinted(docs: DataFrame, keep: str = "doc_id long") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             rows = b.column("text").to_pylist()
-            fp = np.concatenate([fingerprints(rows[i : i + 512]) for i in range(0, len(rows), 512)])
+            fp = np.concatenate([fingerprints([shingle_hashes(t) for t in rows[i : i + 512]]) for i in range(0, len(rows), 512)])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{keep}, fp long")
@@ -78,6 +79,11 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def covering_keys(fp: Column, radius: int = RADIUS) -> Column:
+    """What each covering table keeps of the fingerprint: its bucket there."""
+    return F.array(*[fp.bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
+
+
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Positions (root, other) that connect what links connect among the fingerprints."""
     rest, links = np.arange(len(fps)), []
@@ -120,8 +126,7 @@ def bucket_links(table: np.ndarray, part: np.ndarray, fps: np.ndarray, ids: np.n
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) over the ids of distinct fingerprints (columns fp, rep): links of distance ``radius`` or less, or a set that connects the same."""
-    masks = covering_masks(radius)
-    rows = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("table", "part"))
+    rows = classes.select("fp", "rep", F.posexplode(covering_keys(F.col("fp"), radius)).alias("table", "part"))
     rows = rows.repartition("table", "part").sortWithinPartitions("table", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

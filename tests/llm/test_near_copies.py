@@ -2,8 +2,10 @@ import random
 
 import corpus_pipeline as P
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronolex.llm import near_copies as N
+from chronolex.llm import simhash as S
 
 from .helpers import SF, awkward, clashing, documents
 
@@ -73,6 +75,17 @@ def test_large_buckets_leave_no_pair_out(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_covering_tables_find_pairs_without_a_common_band(spark):
+    rng = random.Random(7)
+    rows = [r for k in range(12) for r in families(rng, 10 * k, 2, 1500, 1)]
+    docs = documents(spark, rows)
+    d = N.sketched(docs).withColumn("bands", F.array("doc_id")).withColumnRenamed("doc_id", "rep")
+    sims = {r.rep: r.sim for r in d.collect()}
+    near = {(a, a + 1) for a in range(0, 120, 10) if ((sims[a] ^ sims[a + 1]) & (1 << 64) - 1).bit_count() <= S.RADIUS}
+    assert len(near) > 6
+    assert near <= {tuple(sorted(r)) for r in N.links(d, docs).collect()}
+
+
 def test_pairs_of_a_group_are_compared():
     sets = [np.arange(a, a + 90, dtype=np.int64) for a in (0, 10, 11, 20, 500)]
     assert sorted(map(sorted, N.set_links(sets, np.ones(5, bool), np.arange(5)))) == [[0, 1], [1, 2], [1, 3]]
