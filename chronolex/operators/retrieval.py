@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 WORD = "[a-zà-ÿß]+"
@@ -100,7 +101,7 @@ def _scores(vectors: DataFrame, asked: list, width: int, schema: StructType, n:
     """(query, row, score) of what can be among the best n of a block of queries."""
     if any(len(r[1]) != width for r in asked):
         raise ValueError("query vectors differ in length")
-    names = pa.array([r[0] for r in asked])
+    names = pa.array([r[0] for r in asked], to_arrow_type(schema[0].dataType))
     q = np.array([[np.nan if x is None else x for x in r[1]] for r in asked], dtype=np.float64)
     q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
 
@@ -124,6 +125,54 @@ def _scores(vectors: DataFrame, asked: list, width: int, schema: StructType, n:
     return vectors.mapInArrow(meet, schema)
 
 
+def nearest_of_groups(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector: str, row_id: str, vector: str, group: str, most: int = 1000) -> DataFrame:
+    """(query, group, row, score): the row of largest cosine of every group but the query's own (column ``group`` of both sides).
+
+    Queries travel in blocks as in ``nearest``; a batch passes on the best rows of each of its groups only.
+    Rows and queries without a vector or a group take no part.
+    """
+    asked = queries.select(query_id, query_vector, group).dropna(subset=[query_vector, group])
+    schema = StructType([queries.schema[query_id], vectors.schema[group], vectors.schema[row_id], StructField("score", DoubleType())])
+    rows = vectors.select(row_id, vector, group).dropna(subset=[vector, group])
+    found, rest = None, iter(asked.toLocalIterator())
+    while block := list(islice(rest, most)):
+        part = _group_scores(rows, block, schema)
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    best = F.min_by(F.struct(row_id, "score"), F.struct((-F.col("score")).alias("s"), row_id)).alias("_b")
+    return found.withColumn("score", F.round("score", 6)).groupBy(query_id, group).agg(best).select(query_id, group, f"_b.{row_id}", "_b.score")
+
+
+def _group_scores(rows: DataFrame, asked: list, schema: StructType) -> DataFrame:
+    """(query, group, row, score) of what can be the best of a group that isn't the query's."""
+    width = len(asked[0][1])
+    if any(len(r[1]) != width for r in asked):
+        raise ValueError("query vectors differ in length")
+    names, own = pa.array([r[0] for r in asked], to_arrow_type(schema[0].dataType)), np.array([r[2] for r in asked], dtype=object)
+    q = np.array([r[1] for r in asked], dtype=np.float64)
+    q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+
+    def meet(batches):
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), width))
+            if not batch.num_rows:
+                continue
+            ids, column, labels = batch.columns
+            x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * q_norm
+            scores = np.divide(x @ q.T, norm, out=np.zeros_like(norm), where=norm != 0)
+            kinds, at = np.unique(np.array(labels.to_pylist(), dtype=object), return_inverse=True)
+            best = np.full((len(kinds), len(q)), -np.inf)
+            np.maximum.at(best, at, scores)
+            best[kinds[:, None] == own[None, :]] = np.inf
+            # as in _scores: what rounds to the same score may win by its id
+            i, j = np.nonzero(scores >= best[at] - 1e-6)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), labels.take(pa.array(i)), ids.take(pa.array(i)), pa.array(scores[i, j])], names=schema.names)
+
+    return rows.mapInArrow(meet, schema)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, query_id: str, row_id: str) -> DataFrame:
     """Min-max normalised scores of both branches, weighted; a row missing from a branch has 0 there."""
 

@@ -183,12 +183,8 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_in_other_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar row of every other label, one per label."""
     e = table(spark, sf_dir, "embeddings")
-    asks = e.join(R.small_side(table(spark, sf_dir, "benchmark").select("item_id"), R.BROADCAST_TERMS), F.expr("vec_id = item_id"))
-    asked = asks.agg(F.collect_list(F.struct("item_id", F.col("label").alias("own"), F.col("embedding").alias("asked"))).alias("a"))
-    met = e.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("doc_id"), "label", "embedding", F.inline("a")).filter("own <> label")
-    scored = met.select("item_id", "label", "doc_id", F.round(R.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    w = Window.partitionBy("item_id", "label").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    asks = e.join(R.small_side(table(spark, sf_dir, "benchmark").select("item_id"), R.BROADCAST_TERMS), F.expr("vec_id = item_id")).select("item_id", F.col("embedding").alias("asked"), "label")
+    return R.nearest_of_groups(e.withColumnRenamed("vec_id", "doc_id"), asks, "item_id", "asked", "doc_id", "embedding", "label")
 
 
 @query(

@@ -196,3 +196,17 @@ def test_nearest_answers_every_query_beyond_a_block(spark):
     assert got == sorted(tuple(r) for r in retrieval.nearest(rows, asked, "q", "a", "id", "v", 3).collect())
     cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
     assert [r[1] for r in sorted(got, key=lambda r: (r[0], r[3]))] == [int(i) for q in range(25) for i in np.argsort(-cos[q])[:3]]
+
+
+def test_best_row_of_every_other_group(spark):
+    """Ties go to the smaller id, queries go in blocks; null vectors and groups take no part, zero vectors score 0."""
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "b", [0.0, 0.0]), (4, "c", [1.0, 1.0]), (5, "c", [2.0, 2.0]), (6, None, [1.0, 0.0]), (7, "d", None), (8, "b", [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id int, label string, vector array<double>")
+    asks = v.select(F.col("id").alias("ask"), "label", F.col("vector").alias("asked"))
+    for most in (2, 1000):
+        got = retrieval.nearest_of_groups(v, asks, "ask", "asked", "id", "vector", "label", most)
+        by = {(r.ask, r.label): (r.id, r.score) for r in got.collect()}
+        assert len(by) == 6 * 2
+        assert by[1, "b"] == (3, 0.0) and by[1, "c"] == (4, 0.707107) and by[5, "a"] == (1, 0.707107) and by[8, "a"] == (1, -1.0)
+    assert retrieval.nearest_of_groups(v, asks.limit(0), "ask", "asked", "id", "vector", "label").count() == 0
+    assert retrieval.nearest_of_groups(v.limit(0), asks, "ask", "asked", "id", "vector", "label").count() == 0
