@@ -1,4 +1,4 @@
-"""Keyword and vector retrieval: BM25 over an inverted index, exact cosine, fusion, grouping.
+"""Vector retrieval by exact cosine, fusion with keyword hits (``operators/keywords``), grouping.
 
 Query sets are stated and small (their number is checked before anything of them is broadcast); the
 corpus side is only ever scanned, combined per task and shuffled by (query, document).
@@ -35,24 +35,6 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str) -> DataFrame:
-    """(query, document, score, matched): BM25 of all documents that hold a term of the query.
-
-    Only postings of query terms are shuffled; lengths and document counts come from the same scan.
-    """
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    terms = small_side(asked.select("term").distinct(), BROADCAST_TERMS)
-    d = docs.select(doc_id, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    total = d.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    hits = d.select(doc_id, "dl", F.explode("_t").alias("term")).join(terms, "term")
-    post = hits.groupBy("term", doc_id, "dl").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = post.join(small_side(asked, BROADCAST_TERMS), "term").join(df, "term").crossJoin(F.broadcast(total))
-    return s.groupBy(query_id, doc_id).agg(F.round(F.sum(idf * gain), 6).alias("score"), F.count("*").alias("matched"))
-
-
 def top(df: DataFrame, group: str, score: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
     """The best n of each group with their ranks; the group limit prunes within each task first."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)

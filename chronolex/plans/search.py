@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators import keywords as K
 from chronolex.operators import retrieval as R
 from chronolex.plans.catalog import query, table
 
@@ -29,12 +30,8 @@ fused AS (SELECT coalesce(nk.item_id, nv.item_id) AS item_id, coalesce(nk.doc_id
 """
 
 
-def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
-
-
-def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(keyword_scores(spark, sf_dir), "item_id", "score", "doc_id", R.CANDIDATES)
+def keyword_hits(spark: SparkSession, sf_dir: str, n: int = R.CANDIDATES) -> DataFrame:
+    return K.best_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", n, {"text": 1.0})
 
 
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ def fused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, matched, rank FROM kw WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(keyword_scores(spark, sf_dir), "item_id", "score", "doc_id", 10)
+    return keyword_hits(spark, sf_dir, 10)
 
 
 @query("knn_exact", f"WITH {VECTOR_SQL} SELECT item_id, doc_id, score, rank FROM vs WHERE rank <= 10")
@@ -72,7 +69,11 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred candidates, the first forty of them ranked again (by matched terms, as a stand-in for a model), ten shown."""
     head = R.top(fused_hits(spark, sf_dir), "item_id", "score", "doc_id", R.RERANKED)
-    again = head.join(keyword_scores(spark, sf_dir).select("item_id", "doc_id", "matched"), ["item_id", "doc_id"], "left").withColumn("again", F.coalesce("matched", F.lit(0)))
+    items = table(spark, sf_dir, "benchmark")
+    few = items.limit(R.BROADCAST_TERMS // R.RERANKED + 1).count() * R.RERANKED <= R.BROADCAST_TERMS
+    asks = head.join(K.asked_terms(items, "item_id", "text"), "item_id", "left")
+    words = table(spark, sf_dir, "documents").select("doc_id", R.tokens(F.col("text")).alias("words"))
+    again = (F.broadcast(asks) if few else asks).join(words, "doc_id").withColumn("again", F.coalesce(F.size(F.array_intersect("words", "terms")), F.lit(0)).cast("long"))
     w = Window.partitionBy("item_id").orderBy(F.desc("again"), F.desc("score"), "doc_id")
     return again.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("item_id", "doc_id", "again", "score", "place")
 
@@ -94,15 +95,29 @@ def group_max_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def min_should_match_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets over the documents that match enough of an item's terms, not over the shown hits."""
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.size(F.array_distinct(R.tokens(F.col("text")))).alias("terms"))
-    enough = keyword_scores(spark, sf_dir).join(R.small_side(terms, R.BROADCAST_TERMS), "item_id").filter(F.col("matched") >= R.least_matches(F.col("terms")))
-    return enough.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.count("*").alias("n"))
+    return K.matching(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "text", "text", "source")
 
 
 @query("keyword_only_degraded", f"WITH {BM25_SQL} SELECT item_id, doc_id, rank, true AS degraded FROM kw WHERE rank <= 5")
 def keyword_only_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without vectors the keyword order stands, and says so."""
-    return keyword_hits(spark, sf_dir).filter("rank <= 5").select("item_id", "doc_id", "rank", F.lit(True).alias("degraded"))
+    return keyword_hits(spark, sf_dir, 5).select("item_id", "doc_id", "rank", F.lit(True).alias("degraded"))
+
+
+@query(
+    "bm25_fields",
+    r"""WITH q AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿß]+'))) AS t FROM benchmark), qt AS (SELECT item_id, unnest(t) AS term FROM q),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿß]+') AS t0, regexp_extract_all(lower(lang), '[a-zà-ÿß]+') AS t2, regexp_extract_all(lower(source), '[a-zà-ÿß]+') AS t1 FROM documents),
+    l AS (SELECT doc_id, 0 AS f, t0 AS t FROM d UNION ALL SELECT doc_id, 1, t1 FROM d UNION ALL SELECT doc_id, 2, t2 FROM d), n AS (SELECT f, count(*) AS docs, avg(len(t)) AS avgdl FROM l GROUP BY f),
+    p AS (SELECT doc_id, f, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, f, len(t) AS dl, unnest(t) AS term FROM l) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), c AS (SELECT f, term, count(*) AS df FROM p GROUP BY ALL),
+    s AS (SELECT item_id, doc_id, f, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS s FROM p JOIN qt USING (term) JOIN c USING (f, term) JOIN n USING (f) GROUP BY ALL),
+    g AS (SELECT item_id, doc_id, round(greatest(coalesce(max(s) FILTER (f = 0), 0), 3 * coalesce(max(s) FILTER (f = 1), 0)) + coalesce(max(s) FILTER (f = 2), 0), 6) AS score, bool_or(f < 2) AS hit FROM s GROUP BY ALL)
+    SELECT * EXCLUDE (hit), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE hit QUALIFY rank <= 10""",
+)
+def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the text and three times the source, with something more for the language."""
+    hits = K.best_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 10, {"text": 1.0, "source": 3.0}, "lang")
+    return hits.drop("matched")
 
 
 @query("highlight_terms", r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(licensed|license|version)\b', '<mark>\1</mark>', 'g')) AS digest FROM documents WHERE regexp_matches(text, '(?i)\b(licensed|license|version)\b')")
