@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import citations as C
+from chronolex.operators import passages as P
 from chronolex.operators import structure as S
 from chronolex.plans.catalog import query, table
 from chronolex.sources import bodies as B
@@ -107,6 +108,43 @@ def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolved(refs, works, places, "l_partkey").groupBy("resolution", "target_kind", "rel").agg(F.count("*").alias("n"))
 
 
+#: Sentences by the number of a line, with {n} and {m}, {k} one and two more; what they cite, with its place, kind, title, target and relation.
+SENTENCES = {
+    1: ("「K{n}규정」 제{n}조 및 제{m}조에 따른다. 같은 규정 제{k}조를 준용한다.", [("external", "K{n}규정", "a{n}", "CITATION"), ("external", "K{n}규정", "a{m}", "BASIS"), ("external", "K{n}규정", "a{k}", "MUTATIS")]),
+    2: ("제{n}항에도 불구하고 별표 {n}과 별지 제{m}호 서식을 쓴다. 나머지는 따로 정한다.", [("internal", None, "a2.p{n}", "EXCEPTION"), ("annex", None, "annex{n}", "CITATION"), ("annex", None, "form{m}", "CITATION"), ("delegation", None, None, "DELEGATION")]),
+    3: ("회계규정 제{n}조와 제{m}조, 별표 {k}의2를 본다.", [("named", "회계규정", "a{n}", "CITATION"), ("named", "회계규정", "a{m}", "CITATION"), ("named_annex", "회계규정", "annex{k}-2", "CITATION")]),
+    4: ("제{n}조제2항 및 제{m}항을 준용하고 같은 조 제{k}항은 뺀다.", [("internal", None, "a{n}.p2", "MUTATIS"), ("internal", None, "a{n}.p{m}", "MUTATIS"), ("internal", None, "a{n}.p{k}", "CITATION")]),
+    5: ("K{m}규정에서 따로 정한다. 여비규정에 의하여 준다.", [("delegation_named", "K{m}규정", None, "DELEGATION"), ("named", "여비규정", None, "BASIS")]),
+    6: ("법 제{n}조와 이 규정 제{m}조를 본다.", [("named", "방지법", "a{n}", "CITATION"), ("internal", None, "a{m}", "CITATION")]),
+    7: ("인사규정 제{n}조에 따라 정한다.", [("named", "인사규정", "a{n}", "IMPLEMENTS")]),
+}
+
+
+def _passages_sql() -> str:
+    def value(x: str | None) -> str:
+        return "NULL" if x is None else "'" + x.replace("{n}", "' || n || '").replace("{m}", "' || (n + 1) || '").replace("{k}", "' || (n + 2) || '") + "'"
+
+    rows = [f"SELECT l_orderkey, 'a' || l_linenumber AS path, {k} AS place, '{kind}' AS kind, {value(title)} AS title, {value(target)} AS target, '{rel}' AS rel FROM l WHERE l_linenumber = {line}" for line, (_, found) in SENTENCES.items() for k, (kind, title, target, rel) in enumerate(found, 1)]
+    return f"WITH l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) % 9 + 1 AS n FROM lineitem GROUP BY ALL) {' UNION ALL '.join(rows)}"
+
+
+@query("citation_passes", _passages_sql())
+def citation_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line number of an order is a provision with a sentence of its own; the sixth uses an abbreviation that its order defines."""
+    n = (F.min("l_suppkey") % 9 + 1).alias("n")
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(n)  # noqa: E741
+    text = F.lit(None).cast("string")
+    for line, (sentence, _) in SENTENCES.items():
+        s = F.lit(sentence)
+        for k, mark in enumerate(("{n}", "{m}", "{k}")):
+            s = F.replace(s, F.lit(mark), (F.col("n") + k).cast("string"))
+        text = F.when(F.col("l_linenumber") == line, s).otherwise(text)
+    heading = F.when(F.col("l_linenumber") == 7, "목적")
+    texts = l.select("l_orderkey", F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("path"), heading.alias("heading"), text.alias("text"))
+    defining = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("「방지법」(이하 “법”이라 한다)").alias("text"))
+    return P.cited(texts, "text", "l_orderkey", "path", "heading", P.abbreviations(defining, "l_orderkey", "text"))
+
+
 @query(
     "lookup_relaxation",
     """WITH p AS (SELECT DISTINCT l_partkey AS work, l_linenumber AS a, l_suppkey % 3 + 1 AS p FROM lineitem), q AS (SELECT o_orderkey, l_partkey AS work, o_custkey % 7 + 1 AS a, o_custkey % 3 + 1 AS p FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
