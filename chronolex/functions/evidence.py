@@ -55,3 +55,27 @@ def split_notes(text: Column, pattern: str = NOTE) -> Column:
     """struct(text, notes): amendment notes taken out, the rest with single blanks."""
     rest = F.btrim(F.regexp_replace(F.regexp_replace(text, pattern, " "), "\\s+", " "))
     return F.struct(rest.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("notes"))
+
+
+def yes_no(value: Column, yes: list[str], no: list[str]) -> Column:
+    """True or false for a word of these (white space, case and a last full stop aside), else null."""
+    v = F.lower(F.regexp_replace(squash(F.coalesce(value, F.lit(""))), "\\.$", ""))
+    return F.when(v.isin(yes), True).when(v.isin(no), False)
+
+
+def _sizes(text: Column, most: bool) -> Column:
+    n, unit = F.regexp_extract_all(text, F.lit(LIMIT), F.lit(1)), F.regexp_extract_all(text, F.lit(LIMIT), F.lit(2))
+    return F.zip_with(n, unit, lambda x, u: x.cast("long") * reduce(lambda c, i: c.when(u == i[0], i[1][most]), DAYS_OF.items(), F.when(F.lit(False), 0)))
+
+
+def value_supported(value: Column, quote: Column) -> Column:
+    """Whether the first quantity of a value is one of its quote's; a value without quantities rests on its words, so it is. A null quote supports no quantity."""
+    same = lambda c: F.transform(quantities(F.coalesce(c, F.lit(""))), lambda x: F.regexp_replace(F.regexp_replace(x, " ", ""), "s$", ""))
+    first = F.get(same(value), F.lit(0))
+    return first.isNull() | F.array_contains(same(quote), F.coalesce(first, F.lit("")))
+
+
+def in_bounds(value: Column, least: Column, most: Column) -> Column:
+    """Whether one of the spans of a value has between so many days (a month has 31); without a span there is nothing to hold against; a null bound is none."""
+    spans = _sizes(F.coalesce(value, F.lit("")), True)
+    return (F.size(spans) == 0) | F.exists(spans, lambda n: F.coalesce(n >= least, F.lit(True)) & F.coalesce(n <= most, F.lit(True)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,41 @@ def numbers_of(path: Column) -> Column:
 def host_of(url: Column) -> Column:
     """Host of a web address in lower case, ``www.`` and ``m.`` aside."""
     return F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), "^(www|m)\\.", "")
+
+
+#: Tags of tables that stay, and the attributes they keep if these are numbers (fixed values).
+TABLE_TAGS = "table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|br|p|span|b|strong|em|i|u|sub|sup|ul|ol|li|div"
+SPANS = ("colspan", "rowspan")
+TAG = "<[a-zA-Z/!](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+SCRIPTS = "(?is)<(script|style)\\b[^>]*>.*?(</\\1\\s*>|$)|<!--.*?(-->|$)"
+HANDLER = "(?i)\\s+on[a-z]+\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)"
+SCRIPT_LINK = "(?i)(href|src)\\s*=\\s*(?:\"\\s*javascript:[^\"]*\"|'\\s*javascript:[^']*'|javascript:[^\\s>]*)"
+
+
+def _by_tags(html: Column, tag: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
+    parts = F.regexp_extract_all(html, F.lit(f"(?s){TAG}|[^<]+|<"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"(?s)^{TAG}$"), tag(x)).otherwise(text(x))), "")
+
+
+def allowed_html(html: Column) -> Column:
+    """Only the tags of tables, without attributes but numeric spans; other tags go, scripts, styles and comments with what they hold; null stays null."""
+
+    def tag(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, "^</?([a-zA-Z0-9]+)", 1))
+        kept = [F.regexp_extract(x, f"(?i)\\s{a}\\s*=\\s*[\"']?([0-9]+)[\"'\\s/>]", 1) for a in SPANS]
+        attributes = [F.when(v != "", F.concat(F.lit(f' {a}="'), v, F.lit('"'))).otherwise("") for a, v in zip(SPANS, kept, strict=True)]
+        opened = F.concat(F.lit("<"), name, *attributes, F.lit(">"))
+        closed = F.when(name.isin("br", "col"), "").otherwise(F.concat(F.lit("</"), name, F.lit(">")))
+        return F.when(name.rlike(f"^(?:{TABLE_TAGS})$"), F.when(x.startswith("</"), closed).otherwise(opened)).otherwise("")
+
+    return _by_tags(F.regexp_replace(html, SCRIPTS, ""), tag, lambda x: F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+
+
+def harmless_html(html: Column) -> Column:
+    """The page without scripts, event handlers, links that run a script and refreshes; all else stays."""
+
+    def tag(x: Column) -> Column:
+        calm = F.regexp_replace(F.regexp_replace(x, HANDLER, ""), SCRIPT_LINK, '$1="#"')
+        return F.when(x.rlike("(?is)^<meta\\b.*http-equiv\\s*=\\s*[\"']?refresh"), "").otherwise(calm)
+
+    return _by_tags(F.regexp_replace(html, "(?is)<script\\b[^>]*>.*?(</script\\s*>|$)", ""), tag, lambda x: x)

@@ -83,6 +83,61 @@ def statute_provisions(docs: DataFrame, xml: str, keep: list[str]) -> DataFrame:
     return d.select(*keep, F.posexplode(rows).alias("ord", "_r")).select(*keep, "ord", "_r.*")
 
 
+#: An administrative rule: articles as whole strings, supplements as brothers (fixed values).
+ADMIN_RULE = "struct<`조문내용`:array<string>,`부칙`:struct<`부칙공포일자`:array<string>,`부칙내용`:array<string>>>"
+ADMIN_ARTICLE = "^제\\s*([0-9]+)\\s*조(?:\\s*의\\s*([0-9]+))?\\s*(?:\\(([^()]*)\\))?\\s*"
+ADMIN_PART = "^제\\s*([0-9]+)\\s*(장|절)\\s*([^\\n]*)"
+
+
+def admin_rule_provisions(docs: DataFrame, xml: str, keep: list[str]) -> DataFrame:
+    """(keep, ord, path, unit, heading, text) of an administrative rule's chapters, sections, articles, paragraphs and supplements.
+
+    An article is one string; paragraphs begin at a round number that opens a line. A text without an
+    article's number is ``bodyN``, N its place; a section without a chapter before it is left out. Dates of
+    supplements count only if each has one. XML that can't be read, or a null, gives no rows.
+    """
+    none = F.lit(None).cast("string")
+    blank = lambda c: F.nullif(F.btrim(c), F.lit(""))
+
+    def chapter_at(k: Column) -> Column:
+        before = F.filter(F.slice("_a", 1, k + 1), lambda y: F.regexp_extract(y, ADMIN_PART, 2) == "장")
+        return F.when(F.size(before) > 0, F.concat(F.lit("c"), F.regexp_extract(F.element_at(before, -1), ADMIN_PART, 1)))
+
+    def part(x: Column, k: Column) -> Column:
+        chapter = chapter_at(k)
+        section = F.concat(chapter, F.lit("-s"), F.regexp_extract(x, ADMIN_PART, 1))
+        is_chapter = F.regexp_extract(x, ADMIN_PART, 2) == "장"
+        row = F.struct(F.when(is_chapter, chapter).otherwise(section).alias("path"), F.when(is_chapter, "chapter").otherwise("section").alias("unit"), blank(F.regexp_extract(x, ADMIN_PART, 3)).alias("heading"), F.lit("").alias("text"))
+        return F.when(chapter.isNotNull(), F.array(row)).otherwise(F.array().cast(ROW))
+
+    def article(x: Column) -> Column:
+        path = F.concat(F.lit("a"), F.regexp_extract(x, ADMIN_ARTICLE, 1), _branch(F.regexp_extract(x, ADMIN_ARTICLE, 2)))
+        pieces = F.split(F.regexp_replace(x, ADMIN_ARTICLE, ""), f"(?:^|\\n)\\s*(?=[{ROUND_NUMBERS}])")
+        signed = lambda y: F.position(F.substring(y, 1, 1), F.lit(ROUND_NUMBERS)) > 0
+        own = F.coalesce(F.get(F.filter(pieces, lambda y: (y != "") & ~signed(y)), F.lit(0)), F.lit(""))
+        paragraph = lambda y: _row(F.concat(path, F.lit(".p"), F.position(F.substring(y, 1, 1), F.lit(ROUND_NUMBERS)).cast("string")), "paragraph", _plain(y, f"^[{ROUND_NUMBERS}]"))
+        return F.concat(F.array(_row(path, "article", _plain(own), blank(F.regexp_extract(x, ADMIN_ARTICLE, 3)))), F.transform(F.filter(pieces, lambda y: (y != "") & signed(y)), paragraph))
+
+    def rows_of(x: Column, k: Column) -> Column:
+        body = F.array(_row(F.concat(F.lit("body"), (k + 1).cast("string")), "article", _plain(x), none))
+        return F.when(F.coalesce(x, F.lit("")) == "", F.array().cast(ROW)).when(x.rlike(ADMIN_ARTICLE), article(x)).when(x.rlike(ADMIN_PART), part(x, k)).otherwise(body)
+
+    d = docs.select(*keep, F.from_xml(F.col(xml), ADMIN_RULE).alias("_x"))
+    texts = F.coalesce(F.col("_x.조문내용"), F.array().cast("array<string>"))
+    d = d.withColumn("_a", F.transform(texts, lambda x: F.btrim(x, F.lit(" \n\t"))))
+    said, dates = F.coalesce(F.col("_x.부칙.부칙내용"), F.array().cast("array<string>")), F.col("_x.부칙.부칙공포일자")
+    day = lambda k: F.date_format(F.try_to_date(F.when(F.size(dates) == F.size(said), F.get(dates, k)), "yyyyMMdd"), "yyyy-MM-dd")
+    names = F.transform(said, lambda x, k: F.coalesce(F.concat(F.lit("supp@"), day(k)), F.concat(F.lit("supp#"), (k + 1).cast("string"))))
+    d = d.withColumns({"_said": said, "_names": names})
+
+    def supplement(x: Column, k: Column) -> Column:
+        nth = F.size(F.filter(F.slice("_names", 1, k + 1), lambda n: n == F.get("_names", k)))
+        return _row(F.concat(F.get("_names", k), F.when(nth > 1, F.concat(F.lit("~"), nth.cast("string"))).otherwise("")), "supplement", _plain(x))
+
+    rows = F.concat(F.flatten(F.transform("_a", rows_of)), F.transform("_said", supplement))
+    return d.select(*keep, F.posexplode(rows).alias("ord", "_r")).select(*keep, "ord", "_r.*")
+
+
 class _Paragraphs:
     """Parser target: text of the paragraphs of a section; one inside another comes first and isn't part of it."""
 
