@@ -6,6 +6,7 @@ corpus side is only ever scanned, combined per task and shuffled by (query, docu
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -155,6 +156,46 @@ def _group_scores(rows: DataFrame, asked: list, schema: StructType) -> DataFrame
     return rows.mapInArrow(meet, schema)
 
 
+def classified(rows: DataFrame, centres: DataFrame, vector: str, label: str, centre: str, most: int = 1000) -> DataFrame:
+    """The rows with ``nearest_label`` and ``score``: the centre of largest cosine, ties to the smaller label.
+
+    Centres travel in blocks; each block goes over the rows with the best found before it beside them, so
+    nothing is shuffled. A zero vector scores 0 everywhere; a null one, one of another length or one that isn't
+    a number somewhere has no label.
+    """
+    kind = centres.schema[label].dataType
+    d = rows.withColumns({"nearest_label": F.lit(None).cast(kind), "score": F.lit(None).cast("double")})
+    rest = iter(centres.select(label, centre).dropna().orderBy(label).toLocalIterator())
+    while block := list(islice(rest, most)):
+        d = d.mapInArrow(_against(block, rows.columns.index(vector), to_arrow_type(kind)), d.schema)
+    return d
+
+
+def _against(block: list, at: int, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    labels = pa.array([r[0] for r in block], kind)
+    q = np.array([r[1] for r in block], dtype=np.float64)
+    q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, had = batch.column(at), batch.column(batch.num_columns - 1)
+            fit = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), q.shape[1]), False).to_numpy(zero_copy_only=False))
+            x = np.asarray(column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, q.shape[1])
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * q_norm
+            scores = np.round(np.divide(x @ q.T, norm, out=np.zeros_like(norm), where=norm != 0), 6)
+            # labels ascend, within a block and from one to the next, so the first of equal scores has the smallest
+            first = scores.argmax(axis=1)
+            best, now = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, dtype=np.int64)
+            best[fit], now[fit] = scores[np.arange(len(fit)), first], first
+            old = np.asarray(had.to_numpy(zero_copy_only=False), dtype=np.float64)
+            better = np.isfinite(best) & (np.isnan(old) | (best > old))
+            label = pc.if_else(pa.array(better), labels.take(pa.array(now)), batch.column(batch.num_columns - 2).cast(kind))
+            score = pc.if_else(pa.array(better), pa.array(best), had)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], label, score], names=batch.schema.names)
+
+    return run
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, query_id: str, row_id: str) -> DataFrame:
     """Min-max normalised scores of both branches, weighted; a row missing from a branch has 0 there."""
 

@@ -173,11 +173,8 @@ def contains_join_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def centroid_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector to the label with the nearest mean vector."""
     e = table(spark, sf_dir, "embeddings")
-    m = R.mean_vector(e, "label", "embedding", "centre")
-    centres = m.agg(F.collect_list(F.struct(F.col("label").alias("c"), "centre")).alias("cs"))
-    best = F.transform("cs", lambda x: F.struct((-F.round(R.cosine(F.col("embedding"), x["centre"]), 6)).alias("s"), x["c"].alias("c")))
-    d = e.crossJoin(F.broadcast(centres)).withColumn("b", F.array_min(best))
-    return d.select("vec_id", "label", F.col("b.c").alias("nearest_label"), (-F.col("b.s")).alias("score"))
+    centres = R.mean_vector(e, "label", "embedding", "centre").withColumnRenamed("label", "c")
+    return R.classified(e.select("vec_id", "label", "embedding"), centres, "embedding", "c", "centre").drop("embedding")
 
 
 @query(

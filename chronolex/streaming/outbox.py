@@ -31,25 +31,33 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def upserted(stream: DataFrame, keys: list[str], order: str, mode: str = "append") -> DataFrame:
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """The complete snapshots in a folder, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f"{folder}/{f.getPath().getParent().getName()}" for f in found or [])
+
+
+def upserted(stream: DataFrame, keys: list[str], order: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """The last row of every key (by ``order``), after all that the stream holds now.
 
-    Each micro-batch is reduced to its own last rows and merged with the snapshot before it.
+    Each micro-batch is reduced to its own last rows and merged with the snapshot before it. ``folder`` is
+    shared and belongs to this consumer; a later run with it goes on where the last one ended. Without it
+    the run stands alone, in a folder of its own.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
-    written: list[str] = []
+    home = folder or f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
 
     def merge(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/snapshot-{number:09d}"
-        before = [p for p in written if p < path]
+        path = f"{home}/snapshot-{number:09d}"
         own = batch.sparkSession
+        before = [p for p in snapshots(own, home) if p < path]
         both = batch.unionByName(own.read.schema(batch.schema).parquet(before[-1])) if before else batch
         latest(both, keys, order).select(*batch.columns).write.mode("overwrite").parquet(path)
-        written.append(path)
 
-    run = stream.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
+    written = snapshots(spark, home)
     return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
 
 
