@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import ann, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup
+from chronolex.llm import ann, decontamination, divergence, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +73,8 @@ QUERIES = {
         op8_simhash,
         op9_piece_encoding,
         op10_prefix_forest,
+        op11_source_divergence,
+        op13_benchmark_decontamination,
     )
 }
-ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL}
+ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op11_source_divergence": divergence.SQL, "op13_benchmark_decontamination": decontamination.SQL}
