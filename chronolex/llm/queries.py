@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import ann, decontamination, divergence, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup
+from chronolex.llm import ann, conversation_trie, decontamination, divergence, html_text, language_id, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(_read(spark, sf_dir, "conversations"))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -74,7 +78,8 @@ QUERIES = {
         op9_piece_encoding,
         op10_prefix_forest,
         op11_source_divergence,
+        op12_conversation_trie,
         op13_benchmark_decontamination,
     )
 }
-ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op11_source_divergence": divergence.SQL, "op13_benchmark_decontamination": decontamination.SQL}
+ORACLES = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op11_source_divergence": divergence.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_benchmark_decontamination": decontamination.SQL}
