@@ -80,7 +80,7 @@ def window_set(ids: list, column: pa.Array, size: int = WINDOW) -> dict:
     for p in pieces:
         h, starts, ends = hasher.words(p), p.starts.tolist(), p.ends.tolist()
         rows, first = np.unique(p.rows, return_index=True)
-        for row, a, b in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(starts)], strict=True):
+        for row, a, b in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(starts)][: len(rows)], strict=True):
             k = min(size, b - a)
             for i, x in enumerate(hasher.windows(h[a:b], k).tolist(), a):
                 text = b" ".join(p.data[starts[i] : ends[i + k - 1]].split())

@@ -76,12 +76,12 @@ def counter(schema: pa.Schema, flush_rows: int, piece_bytes: int) -> Callable[[I
                 db.execute("INSERT INTO found SELECT doc, term, count(*) FROM words GROUP BY doc, term")
                 db.unregister("words")
             per_doc = "SELECT doc, term, sum(n) AS n FROM found GROUP BY doc, term"
-            rows += db.execute(f"INSERT INTO held SELECT lang, source, term, sum(n), count(*) FROM ({per_doc}) JOIN groups USING (doc) GROUP BY ALL").fetchone()[0]
+            rows += db.execute(f"INSERT INTO held SELECT lang, source, term, sum(n), count(*) FROM ({per_doc}) JOIN groups USING (doc) GROUP BY ALL").fetchall()[0][0]
             db.execute("DELETE FROM found")
             db.unregister("groups")
             if rows > flush_rows:
                 db.execute(f"CREATE OR REPLACE TABLE held AS SELECT lang, source, term, n::BIGINT AS n, docs::BIGINT AS docs FROM ({total})")
-                rows = db.execute("SELECT count(*) FROM held").fetchone()[0]
+                rows = db.execute("SELECT count(*) FROM held").fetchall()[0][0]
                 if rows > flush_rows // 2:
                     yield from _batches(db.sql("FROM held"), schema)
                     db.execute("DELETE FROM held")
