@@ -75,6 +75,13 @@ class Forest:
         #: Leading bits that name a part.
         self.part_bits = min(LABEL_BITS, max(0, int(np.ceil(np.log2(rows / PART_ROWS)))))
 
+    @classmethod
+    def again(cls, state: dict) -> Forest:
+        """The forest whose ``vars`` these are."""
+        f = cls.__new__(cls)
+        f.__dict__.update(state)
+        return f
+
     def labels(self, vectors: np.ndarray) -> np.ndarray:
         """A LABEL_BITS-bit integer per vector and tree; its leading bits are the prefixes."""
         bits = ((_unit(vectors) - self.mean) @ self.planes > 0).reshape(len(vectors), TREES, LABEL_BITS)
@@ -183,14 +190,15 @@ def search(vectors: DataFrame, is_query, near: int = 5) -> DataFrame:
         sample = np.array([x["embedding"] for x in sorted(rows, key=lambda x: x["h1"])[:SAMPLE_ROWS]], np.float64)
         if len(sample):
             forests[r["dim"]] = Forest(sample, r["count"], near)
-    sent = vectors.sparkSession.sparkContext.broadcast(forests)
+    # Numbers and arrays only: a broadcast names the classes it holds, which workers may not be able to import.
+    sent = vectors.sparkSession.sparkContext.broadcast({d: vars(f) for d, f in forests.items()})
 
     def by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Forest, pa.RecordBatch]]:
         for b in batches:
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 if d in sent.value:
-                    yield d, sent.value[d], b.filter(pa.array(dims == d))
+                    yield d, Forest.again(sent.value[d]), b.filter(pa.array(dims == d))
 
     def bins(dim: int, tree: int, part: np.ndarray) -> np.ndarray:
         """One number for dimension, tree and part; a part has at most 40 bits."""
@@ -206,7 +214,7 @@ def search(vectors: DataFrame, is_query, near: int = 5) -> DataFrame:
     def descend(key: tuple, q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         """What a tree holds below each prefix of the queries, and how much is enough."""
         dim, tree = divmod(int(key[0]) >> 40, TREES)
-        f = sent.value[dim]
+        f = Forest.again(sent.value[dim])
         items = items.sort_values("label")
         held = f.held(tree, items["label"].to_numpy(np.int64), items["n"].to_numpy(np.int64), q["label"].to_numpy(np.int64))
         return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "held": list(held), "enough": f.need * f.rows})
@@ -267,5 +275,9 @@ def search(vectors: DataFrame, is_query, near: int = 5) -> DataFrame:
 
 
 def digest(vectors: DataFrame) -> DataFrame:
-    """Rows of the query: the five nearest of every row whose vec_id is divisible by 50."""
+    """Rows of the query: the five nearest of every row whose vec_id is divisible by 50.
+
+    Null, zero and non-finite vectors and rows without an id take no part; ties go to the smaller id, copies
+    and repeated ids are rows of their own, extra columns are ignored, and an empty table gives no rows.
+    """
     return search(vectors, F.col("vec_id") % 50 == 0)

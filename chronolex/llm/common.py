@@ -29,6 +29,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT_FOLD, F.lit(False))
 
 
+def window(text: Column, doc_id: Column, max_bytes: int) -> Column:
+    """The text if it has max_bytes at most, else a quarter as many of its characters, from a place that the id's hash picks."""
+    chars = max_bytes // 4
+    start = F.pmod(F.xxhash64(doc_id, F.lit("window")), F.greatest(F.char_length(text) - chars + 1, F.lit(1))) + 1
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.substring(text, start.cast("int"), F.lit(chars)))
+
+
 def without(text: Column, chars: str) -> Column:
     """The text without the characters; each replace is one linear pass in the JVM."""
     for c in chars:

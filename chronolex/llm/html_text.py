@@ -25,12 +25,14 @@ TOKEN = re.compile(
     re.S | re.X,
 )
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-#: Elements whose content is no markup; all but noscript are dropped with it.
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
+#: Elements whose content is no markup; it is dropped.
+RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
+#: Raw content that is shown as it stands.
+SHOWN = frozenset({"xmp"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "blockquote pre figure figcaption address hgroup details summary center fieldset hr".split()
+    "blockquote pre xmp figure figcaption address hgroup details summary center fieldset hr".split()
 )
 DROPPED = frozenset("head nav footer button select option menu dialog canvas object applet audio video map label legend input".split())
 #: Elements that go unless they wrap the article or, for a header, belong to it.
@@ -53,6 +55,11 @@ BOILERPLATE = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion reactions".split())
 ADVERTS = frozenset("ad ads adsense advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promos promotion promoted banner banners outbrain taboola".split())
+#: Elements of text: a name alone doesn't drop them, only if they are short or mostly links.
+PLAIN = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dt dd figcaption".split())
+PLAIN_CHARS = 25
+#: Words that make the one before them a word of another meaning.
+COMPOUNDS = frozenset({("follow", "up"), ("share", "price"), ("share", "prices"), ("share", "holders"), ("form", "factor"), ("legal", "aid")})
 NEGATIONS = frozenset("no with has without".split())
 TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -61,7 +68,7 @@ HALVINGS = 3
 
 
 def _mark(tag: str, attributes: str, in_article: bool) -> str:
-    """What tells that an element is no part of the article: "gone" for good, "form", "header" or "name" in doubt, "" if nothing does."""
+    """What tells that an element is no part of the article: "gone" for good, "form", "header", "name" or "doubt" if other things can outweigh it, "" if nothing does."""
     if tag in DROPPED:
         return "gone"
     own = tag if tag in ("form", "header") else "name" if tag in DOUBTFUL else ""
@@ -77,7 +84,11 @@ def _mark(tag: str, attributes: str, in_article: bool) -> str:
     marks = COMMENTS if tag in ("article", "main") else ADVERTS if in_article and tag in TABLE else BOILERPLATE
     for name in f"{named.get('class', '')} {named.get('id', '')}".split():
         words = [w for w in WORD_SPLIT.split(CAMEL.sub("-", unescape(name)).lower()) if w and not w.isdigit()]
+        if tuple(words[:2]) in COMPOUNDS:
+            words = words[2:]
         if words and words[0] not in NEGATIONS and (words[0] in marks or words[-1] in marks):
+            if tag in PLAIN:
+                return "doubt"
             return "gone" if words[0] in COMMENTS or words[-1] in COMMENTS else "header" if words[-1] == "header" else "name"
     return own
 
@@ -107,6 +118,10 @@ class Tree:
                     attributes = m[3] if m[2] else m[6]
                     if tag in RAW and not attributes.endswith("/"):
                         end = re.compile(f"</{re.escape(tag)}(?![\\w:-])[^>]*>?", re.I).search(page, at)
+                        if tag in SHOWN:
+                            self._open(tag, attributes)
+                            self._raw(page[at : end.start() if end else n])
+                            self._close(tag)
                         at = end.end() if end else n
                     else:
                         self._open(tag, attributes)
@@ -123,9 +138,12 @@ class Tree:
         self.article.append(tag in ("article", "main") or self.article[up])
         return k
 
+    def _raw(self, text: str) -> None:
+        if self.dropped < 0 and text:
+            self._add("", text)
+
     def _text(self, raw: str) -> None:
-        if self.dropped < 0 and raw:
-            self._add("", unescape(raw) if "&" in raw else raw)
+        self._raw(unescape(raw) if "&" in raw else raw)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
@@ -203,9 +221,10 @@ class Parts:
             up, mark = t.parent[k], t.mark[k]
             self.out[k] = self.out[up]
             if mark and not self.out[up]:
-                # A wrapper, as a form around the whole page: most of the text that is no link and, but for forms, an article or h1.
-                wraps = mark != "gone" and 2 * (self.size[k] - self.links[k]) > self.size[0] - self.links[0] and (mark == "form" or centre[k] > 0)
-                self.out[k] = not (wraps or (t.article[up] and self.titles(k)))
+                # A wrapper, as a form around the whole page: most of the text that is no link and, but for forms, an article or h1 if there is one.
+                wraps = mark != "gone" and 2 * (self.size[k] - self.links[k]) > self.size[0] - self.links[0] and (mark == "form" or centre[k] > 0 or centre[0] == 0)
+                plain = mark == "doubt" and self.size[k] >= PLAIN_CHARS and 2 * self.links[k] <= self.size[k]
+                self.out[k] = not (wraps or plain or (t.article[up] and self.titles(k)))
 
     def titles(self, k: int) -> bool:
         """Whether a part is a header with a heading and more text than links."""
@@ -278,6 +297,14 @@ def main_text(page: str | None) -> str:
             if out[k] and not out[t.parent[k]] and parts.titles(k) and (best < k < end or (beside and k < best and t.parent[k] > 0)):
                 parts.take_back(k)
                 kept.add(k)
+    elif t.tag[best] == "article":  # an article in several parts
+        kept.update(k for k in range(1, n) if t.parent[k] == t.parent[best] and t.tag[k] == "article" and final[k] >= 0.2 * final[best])
+    if best > 0:  # titles over the containers around the best one
+        around, up = set(), best
+        while up > 0:
+            up = t.parent[up]
+            around.add(up)
+        kept.update(k for k in range(1, best) if t.tag[k] == "h1" and t.parent[k] in around and not out[k])
     inside = [False] * n
     blocks: list[str] = []
     now: list[str] = []
@@ -323,5 +350,5 @@ def extracted(pages: DataFrame, keep: str = "page_id long, url string") -> DataF
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """Rows of the query: page_id, url, text, n_chars."""
+    """Rows of the query: page_id, url, text, n_chars; null, empty and long pages, ties, repeated rows and empty tables as in ``extracted``."""
     return extracted(pages)

@@ -16,19 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import held_out, slices
+from chronolex.llm.common import held_out, slices, window
 
 #: n-grams fall into so many bins (a power of two); collisions are few among the n-grams of a language.
 BINS = 1 << 14
 MAX_N = 4
 #: The fit takes so many texts of each language, those whose ids hash lowest, and fewer where there are so many languages
-#: that they would be over TEXTS together (down to one each). Texts of over TEXT_BYTES teach nothing: 256 MB at most.
+#: that they would be over TEXTS together (down to one each; the TEXTS most frequent languages are learnt, as the model has a
+#: column of weights for each). Of a text of over TEXT_BYTES a window teaches, as long in characters as surely fits: 256 MB at most.
 PER_LANGUAGE, TEXTS, TEXT_BYTES = 160, 4000, 1 << 16
 LANDMARKS, MARKS = 48, 1200  # of each language, and of all together
 RIDGE = 1e-3
 SHARPNESS = 6.0
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 BLANKS = re.compile(r"\s+")
 
 
@@ -60,6 +60,11 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.sqrt(np.outer(*sums))
 
 
+def has_letter(text: str) -> bool:
+    r"""Whether a character is a letter (\p{L}: no numeral, no mark)."""
+    return any(map(str.isalpha, text))
+
+
 class Model:
     """labels, and the weights that turn presence rows into one regression value per label."""
 
@@ -96,15 +101,15 @@ def fit(docs: DataFrame) -> Model:
     """Fit on the bounded sample: the texts whose ids hash lowest, by a threshold from each language's count.
 
     Only the sample's texts reach the driver; of rows that share an id and a language the smallest text
-    counts. Rows without id, language or letter teach nothing.
+    counts, and of a very long one a window at a place that its id's hash picks. Rows without id, language or letter teach nothing.
     """
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= TEXT_BYTES))
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     place = F.xxhash64("doc_id", F.lit("sample")).cast("double") / float(1 << 64) + 0.5  # 0 to 1
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TEXTS).collect()
     each = max(1, min(PER_LANGUAGE, TEXTS // max(len(counts), 1)))
     # About twice the texts that are needed pass; the exact number is cut below.
     shares = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * each + 20.0) / r["count"]) for r in counts], "lang string, share double")
-    rows = known.join(F.broadcast(shares), "lang").filter(place < F.col("share")).groupBy("lang", "doc_id", place.alias("o")).agg(F.min("text").alias("text")).collect()
+    rows = known.join(F.broadcast(shares), "lang").filter(place < F.col("share")).groupBy("lang", "doc_id", place.alias("o")).agg(F.min(window(F.col("text"), F.col("doc_id"), TEXT_BYTES)).alias("text")).collect()
     texts, langs, seen = [], [], {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["o"], r["doc_id"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
@@ -128,7 +133,7 @@ def identify(docs: DataFrame, model: Model, keep: str) -> DataFrame:
         for b in slices(batches, "text", 1 << 20):
             texts = b.column("text").to_pylist()
             lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            able = [k for k, t in enumerate(texts) if labels and t and LETTER.search(t)]
+            able = [k for k, t in enumerate(texts) if labels and t and has_letter(t)]
             for start in range(0, len(able), 256):
                 part = able[start : start + 256]
                 for k, best, p in zip(part, *scores([texts[k] for k in part], weights, bias), strict=True):

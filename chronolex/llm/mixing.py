@@ -33,9 +33,9 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, source, size, key, part) of each document. Reruns give the same keys."""
+    """(doc_id, th, source, size, key, part) of each document. Reruns give the same keys; without an id the text gives one."""
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "source", size_of(F.col("text")).alias("size"), "text")
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
+    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 13), 16, 10).cast("double")
     d = d.withColumn("key", -F.log((bits + 0.5) / float(1 << 52)) / quality_weight(F.col("text"), F.col("size"))).drop("text")
     return d.withColumn("part", F.floor(F.log("key") * PARTS).cast("int"))
 
@@ -106,7 +106,7 @@ def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS sym,
-    (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+    (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 k AS (SELECT *, -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + CAST(sym AS DOUBLE) / greatest(size, 1))) AS key FROM d),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, source_size * 3 AS cap FROM s0),
@@ -125,5 +125,10 @@ SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto <
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, size, source_size, target, taken."""
+    """Rows of the query: doc_id, size, source_size, target, taken.
+
+    A null text has size 0, a null source is one of its own and the last, a row without an id is keyed by its
+    text. Repeated rows are taken or left alike, but for the one at the end of the budget; a very long
+    text counts whole; extra columns are ignored; an empty table gives no rows.
+    """
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -176,5 +176,5 @@ def hex_of(fp: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, fingerprint, component_id."""
+    """Rows of the query: doc_id, fingerprint, component_id; nulls, empty and long texts, ties, repeated rows and empty tables as in ``near_duplicates``."""
     return near_duplicates(docs).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

@@ -405,5 +405,9 @@ def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Rows of the query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Rows of the query: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    A null text is empty and loses nothing, as does one of under 400 bytes; a repeated row is a document of its own, so that both
+    lose what they share. Rows without an id take part; extra columns are ignored; an empty table gives no rows.
+    """
     return _applied(docs, False)

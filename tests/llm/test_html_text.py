@@ -113,3 +113,18 @@ def test_awkward_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in H.digest(pages).collect())
     assert got == [(0, 0), (1, 0), (2, 1), (2, 1), (3, 1_499_999)]
     assert H.digest(pages.limit(0)).count() == 0
+
+
+def test_names_alone_drop_no_text():
+    """Text in math and xmp, wrappers with odd names, named paragraphs, articles in parts and titles over containers stay."""
+    assert H.main_text(f"<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is here.</p><xmp><b>raw & bold</b></xmp><p>{LONG}</p></article>") == "\n\n".join(["Energy E=m is here.", "<b>raw & bold</b>", LONG])
+    assert H.main_text(f"<body><div id=legal><p>{LONG}</p><p>{LONG} Two.</p></div><div><p>Short aside.</p><a href=1>x</a></div></body>").startswith(f"{LONG}\n\n{LONG} Two.")
+    for named in ('p class="press-promotion"', 'p class="star-spangled-banner"', 'p id="share"', 'blockquote class="reply"'):
+        page = f"<article><p>{LONG}</p><{named}>Shares, and what they said, were news.</{named.split()[0]}><p>{LONG}</p></article>"
+        assert H.main_text(page) == "\n\n".join([LONG, "Shares, and what they said, were news.", LONG]), named
+    assert H.main_text(f'<article><p>{LONG}</p><p class="ad">Buy!</p><p class="share"><a href=1>Share this text with all others</a></p></article>') == LONG
+    follow = f"<body><nav><a href=/>Home</a></nav><div class=content><p>{LONG}</p><div class='follow-up'><p>What came after it, a year later.</p></div><p>{LONG}</p></div></body>"
+    assert H.main_text(follow) == "\n\n".join([LONG, "What came after it, a year later.", LONG])
+    assert H.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG} Two.</p></article></body>") == "\n\n".join([LONG, LONG, LONG + " Two."])
+    assert H.main_text(f"<body><div><h1>Title</h1><div><div class=c><p>{LONG}</p><p>{LONG}</p></div></div></div></body>") == "\n\n".join(["Title", LONG, LONG])
+    assert H.main_text(f"<body><header><h1>Site</h1></header><div><div><p>{LONG}</p></div></div></body>") == LONG

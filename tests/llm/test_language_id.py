@@ -51,3 +51,39 @@ def test_awkward_rows(spark):
     assert not got[None].held_out
     assert L.digest(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in L.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_no_letter_is_undetermined(spark):
+    from .helpers import documents
+
+    docs = documents(spark, [(1, "½ ²"), (2, "①②"), (3, "Ⅷ 〇"), (4, "１２"), (5, "x½"), (6, "文"), (7, "́̈"), *[(10 + k, "das ist ein Haus") for k in range(8)]])
+    got = {r.doc_id: r.lang_pred for r in L.digest(docs).collect()}
+    assert [got[k] for k in range(1, 8)] == ["und"] * 4 + ["en", "en", "und"]
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    from .helpers import documents
+
+    short = [(k, f"the house number {k} and the garden", "en", "s", 0) for k in range(30)]
+    long = [(100 + k, "zażółć gęślą jaźń, dom i ogród " * 4000, "pl", "s", 0) for k in range(12)]
+    got = {r.doc_id: r for r in L.digest(documents(spark, short + long + [(999, "dom i ogród gęślą", None, None, 0)])).collect()}
+    assert all(got[100 + k].lang_pred == "pl" for k in range(12)) and got[999].lang_pred == "pl" and got[3].lang_pred == "en"
+
+
+def test_all_landmarks_give_exact_kernel_ridge():
+    """With every text a landmark the Nystroem features are exact, so values equal those of the dual solution."""
+    rng = np.random.default_rng(3)
+    words = {"a": "alpha beta gamma the and".split(), "b": "uno due tre che non".split(), "c": "eins zwei drei und nicht".split()}
+    langs = [k for k in words for _ in range(9)]
+    texts = [" ".join(rng.choice(words[k], 5)) + f" {i}" for i, k in enumerate(langs)]
+    model = L.Model(texts, langs)
+    x = L.presence(texts)
+    y = np.where(np.array(langs)[:, None] == np.array(sorted(words)), 1.0, -1.0)
+    k = L.kernel(x, x).astype(np.float64)
+    alpha = np.linalg.solve(k + L.RIDGE * 9 * np.eye(len(texts)), y - y.mean(0))
+    new = ["the alpha and", "tre che", "drei nicht uno", "zwei"]
+    exact = L.kernel(L.presence(new), x) @ alpha + y.mean(0)
+    rows = L.presence(new).astype(np.float32)
+    values = (rows @ model.weights) / np.sqrt(rows.sum(1))[:, None] + model.bias
+    assert np.abs(values - exact).max() < 1e-3
+    assert [model.labels[k] for k in L.scores(new, model.weights, model.bias)[0]] == [sorted(words)[k] for k in exact.argmax(1)]

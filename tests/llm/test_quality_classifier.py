@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from chronolex.llm import quality_classifier as C
 from chronolex.llm.common import held_out
 
-from .helpers import SF, awkward, clashing
+from .helpers import SF, awkward, clashing, documents
 
 
 def read(spark, name, sf="0.01"):
@@ -44,3 +44,10 @@ def test_awkward_rows(spark):
     assert all(r.score == C.EMPTY_SCORE and r.predicted == 0 for r in got.collect() if r.doc_id in (900, 901, 904))
     assert C.digest(docs.limit(0), labels).count() == 0
     assert {r.score for r in C.digest(docs, labels.limit(0)).collect()} <= {0.5, C.EMPTY_SCORE}
+
+
+def test_labels_of_long_texts_only_are_learnt(spark):
+    texts = [(k, ("fine plain prose here " if k % 2 else "### buy $$$ now ### ") * 4000) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in C.digest(documents(spark, texts), labels).collect()}
+    assert all((got[k] > 0.5) == (k % 2 == 1) for k in range(60))
