@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline as P
 import pandas as pd
 
-from chronolex.llm import line_dedup, mixing
+from chronolex.llm import language_id, line_dedup, mixing
 
 from . import test_near_copies, test_pieces
 from .helpers import SF, awkward, clashing, documents, duck
@@ -23,12 +23,13 @@ def through(spark, docs):
 
 def test_stages_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    more = documents(spark, [(10_000 + i, f"{i} %% 12") for i in range(5)] + [(10_100, None), (10_101, "")])
+    more = documents(spark, [(10_200, "The thing that and the house is of the men", None, "src0", 1), *((10_000 + i, f"{i} %% 12") for i in range(5))] + [(10_100, None), (10_101, "")])
     docs = docs.unionByName(more)
     got = through(spark, docs)
-    want = [r.asDict() for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    told = {r.doc_id: r.lang_pred for r in language_id.digest(docs).collect()}
+    want = [r.asDict() | {"lang": r.lang or told[r.doc_id]} for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
     by = lambda rows: sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    assert by(got["language"]) == by(want)
+    assert by(got["language"]) == by(want) and any(r["doc_id"] == 10_200 and r["lang"] == "en" for r in got["language"])
 
     names, rows = duck(line_dedup.SQL, documents=pd.DataFrame(got["language"]))
     lines = {r[names.index("doc_id")]: r[names.index("kept_sha256")] for r in rows}
@@ -59,11 +60,13 @@ def test_awkward_rows(spark):
     assert texts("near_duplicates") == sorted({*want}, key=str)
     assert {r["doc_id"] for r in got["encoding"]} == {r["doc_id"] for r in got["mixing"]}
     docs = clashing(awkward(spark))
+    sizes = []
     for name, stage in P.STAGES:
         docs = stage(spark, docs, SF)
         if name != "encoding":
             assert docs.columns == P.COLUMNS
-    assert docs.count() >= 1
+        sizes.append(docs.count())
+    assert sizes == [len(got[name]) for name, _ in P.STAGES] and sizes[:3] == [4, 4, 3]
     empty = clashing(awkward(spark)).limit(0)
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
