@@ -136,14 +136,14 @@ def release_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "promotion_plan",
     """SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 'cited' ELSE 'configured' END AS why FROM part
-    WHERE (p_partkey IN (SELECT l_partkey FROM lineitem) OR p_size > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL) AND p_partkey NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL)""",
+    WHERE (p_partkey IN (SELECT l_partkey FROM lineitem) OR p_size > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_partkey IS NOT NULL) AND p_partkey NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL)""",
 )
 def promotion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is cited or configured, but neither loaded (returned once) nor waiting (signed up)."""
+    """What is cited or configured, but neither loaded (returned once in a large lot) nor waiting (signed up)."""
     line = table(spark, sf_dir, "lineitem")
     cited = line.select(F.col("l_partkey").alias("p_partkey")).distinct()
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size").join(cited.withColumn("_c", F.lit(True)), "p_partkey", "left")
-    loaded = line.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    loaded = line.filter("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     waiting = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("p_partkey"))
     plan = part.filter("_c OR p_size > 45").join(loaded, "p_partkey", "left_anti").join(waiting, "p_partkey", "left_anti")
     return plan.select("p_partkey", F.when(F.col("_c"), "cited").otherwise("configured").alias("why"))
