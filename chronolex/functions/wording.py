@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronolex.functions.patterns import loose, one_of, word_ending
+
 #: Glyphs of word processors and what they stand for (fixed values).
 GLYPHS = {"\U000f0852": "“", "\U000f0853": "”", "\uf09e": "·", "\U000f02ea": "·", "\uf06f": "□", "\uf0fe": "☑", "\uf0a1": "○", "\uf0a7": "▪", "\uf06d": "❍", "\U000f0099": "~", "\U000f012b": "", "\U000f0036": "→", "\U000f03c5": "□"}
 QUOTE, RULED = "\uf000", "[\\x{f0800}-\\x{f08ff}\\x{f000}]{3,}"
@@ -14,6 +16,10 @@ SEGMENTS = (
     ("^p([0-9]+)$", "제$1항"), ("^i([0-9]+)-([0-9]+)$", "제$1호의$2"), ("^i([0-9]+)$", "제$1호"), ("^s(.)$", "$1목"),
 )
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+#: A letter of a name; what names of rules and of statutes end with (fixed values).
+LETTER = "[가-힣A-Za-z0-9·ㆍ]"
+RULE_ENDINGS = "규정 규칙 요령 지침 세칙 기준 예규 훈령 고시 내규 정관 편람 강령".split()
+LAW_ENDINGS = "법률 법 시행령".split()
 #: Names that say nothing of which statute, and endings of statutes' names (fixed values).
 BARE_LAWS = ["법", "영", "법률", "시행령", "시행규칙"]
 LAW_ENDING = "(법|법률|령|시행규칙)$"
@@ -76,10 +82,29 @@ def answer_mode(question: Column, has_days: Column, patterns: dict[str, str]) ->
     return F.when(is_["permit"] | (fact & (has_days | is_["ask_ok"] | ~is_["asks"])), "judgment").otherwise("general")
 
 
+#: How a name is shortened: the name in brackets or as a word, or a decree of the same law; then the abbreviation in quotes.
+SHORTENED = (
+    f"(?:「([^」]+)」|{loose('같은 법')}\\s?(시행령|시행규칙)|({word_ending(one_of(RULE_ENDINGS + LAW_ENDINGS), LETTER)}))"
+    "\\s*\\(\\s?이하\\s*[“\"‘']\\s?([^”\"’']{1,20}?)\\s?[”\"’']\\s?이?라\\s?(?:한다|함)\\s?\\)"
+)
+
+
 def definitions(text: Column) -> Column:
-    """Array of (abbreviation, name) that a text defines: 「name」(이하 “abbreviation”이라 한다)."""
-    found = F.regexp_extract_all(text, F.lit("「[^」]+」\\s*\\(이하\\s*“[^”]+”이?라 한다\\)"), F.lit(0))
-    return F.transform(found, lambda x: F.struct(F.trim(F.regexp_extract(x, "“([^”]+)”", 1)).alias("abbreviation"), F.trim(F.regexp_extract(x, "「([^」]+)」", 1)).alias("name")))
+    """Array of (abbreviation, name) that a text defines: 「name」 or a name in one word, (이하 “abbreviation”이라 한다).
+
+    A decree of the same law is that of the name defined before it; without one it is nothing.
+    """
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(SHORTENED), F.lit(k)).alias(n) for k, n in enumerate(("bracket", "decree", "word", "short"), 1)])
+    kind = "array<struct<abbreviation:string,name:string>>"
+    state = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast(kind).alias("out"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        own = F.trim(F.when(x["bracket"] != "", x["bracket"]).when(x["word"] != "", x["word"]))
+        name = F.coalesce(own, F.concat(so_far["last"], F.lit(" "), x["decree"]))
+        more = F.array(F.struct(F.trim(x["short"]).alias("abbreviation"), name.alias("name"))).cast(kind)
+        return F.struct(F.coalesce(own, so_far["last"]).alias("last"), F.when(name.isNull(), so_far["out"]).otherwise(F.concat(so_far["out"], more)).alias("out"))
+
+    return F.aggregate(found, state, step, lambda x: x["out"])
 
 
 def terms(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import alignment as A
+from chronolex.operators import names as N
 from chronolex.plans.catalog import query, table
 
 
@@ -38,3 +39,27 @@ def quotes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.concat(F.substring("text", 1, 9), F.substring("text", 11, 19), F.lit("q"), F.substring("text", 31, 30))
     items = table(spark, sf_dir, "benchmark").select("item_id", quote.alias("quote"))
     return A.found_quotes(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "quote")
+
+
+@query(
+    "names_in_texts",
+    """WITH l AS (SELECT l_orderkey, row_number() OVER w AS k, CASE row_number() OVER w % 3 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN replace(p_name, ' ', '') ELSE 'Maker ' || p_name END AS name,
+      replace(CASE row_number() OVER w % 3 WHEN 0 THEN p_name || p_type ELSE p_name END, ' ', '') AS key
+      FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)),
+    s AS (SELECT *, sum(length('; see ' || name || ' x')) OVER (PARTITION BY l_orderkey ORDER BY k) - length(name) - 2 AS start FROM l),
+    t AS (SELECT replace(lower(title), ' ', '') AS key, count(DISTINCT title) AS works, min(title) AS title FROM (SELECT DISTINCT p_name AS title FROM part UNION SELECT DISTINCT p_name || ' ' || p_type FROM part) GROUP BY 1)
+    SELECT l_orderkey, CAST(start AS INT) AS start, CAST(start + length(name) AS INT) AS "end", name, works, CASE WHEN works = 1 THEN t.title END AS work FROM s LEFT JOIN t ON t.key = lower(s.key)""",
+)
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a text that names their parts: in two words, in one, with the kind or the maker beside; the longest name counts."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    named = F.array("p_name", F.concat_ws(" ", "p_name", "p_type"))
+    titles = part.select(F.explode(named).alias("title")).distinct()
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("k", F.row_number().over(place))
+    said = F.when(F.col("k") % 3 == 0, named[1]).when(F.col("k") % 3 == 1, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.concat(F.lit("Maker "), "p_name"))
+    said = F.concat(F.lit("; see "), said, F.lit(" x"))
+    texts = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", said.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    keys = N.keys_of(titles.withColumn("work", F.col("title")), "work", "title")
+    hits = N.names_in(texts, "l_orderkey", "text", keys, prefixes=["Maker"])
+    return hits.join(keys, "key").select("l_orderkey", "start", "end", "name", "works", "work")

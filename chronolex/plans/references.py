@@ -117,22 +117,30 @@ SENTENCES = {
     5: ("K{m}규정에서 따로 정한다. 여비규정에 의하여 준다.", [("delegation_named", "K{m}규정", None, "DELEGATION"), ("named", "여비규정", None, "BASIS")]),
     6: ("법 제{n}조와 이 규정 제{m}조를 본다.", [("named", "방지법", "a{n}", "CITATION"), ("internal", None, "a{m}", "CITATION")]),
     7: ("인사규정 제{n}조에 따라 정한다.", [("named", "인사규정", "a{n}", "IMPLEMENTS")]),
+    11: ("이 절은 공공기관의 운영에 관한 법률 제{n}조부터 제{m}조까지를 따르고, 제{k}조를 본다.", [("named", "공공기관의 운영에 관한 법률", "a{n}", "CITATION"), ("named", "공공기관의 운영에 관한 법률", "a{m}", "CITATION"), ("internal", None, "a{k}", "CITATION")]),
+    12: ("업무편람 제{n}조(직위의 해제) 및 제{m}조(복직)를 준용한다. 정관 제{k}조를 본다.", [("named", "업무편람", "a{n}", "MUTATIS"), ("named", "업무편람", "a{m}", "MUTATIS"), ("named", "정관", "a{k}", "CITATION")]),
+    13: ("『공무원 여비 규정』 제{n}조와 K{m}내규에서 위임한 것을 뺀다.", [("named", "공무원 여비 규정", "a{n}", "CITATION"), ("named", "K{m}내규", None, "IMPLEMENTS")]),
 }
+#: Lines with a second sentence, by what is added to their number.
+SECOND = 10
 
 
 def _passages_sql() -> str:
     def value(x: str | None) -> str:
         return "NULL" if x is None else "'" + x.replace("{n}", "' || n || '").replace("{m}", "' || (n + 1) || '").replace("{k}", "' || (n + 2) || '") + "'"
 
-    rows = [f"SELECT l_orderkey, 'a' || l_linenumber AS path, {k} AS place, '{kind}' AS kind, {value(title)} AS title, {value(target)} AS target, '{rel}' AS rel FROM l WHERE l_linenumber = {line}" for line, (_, found) in SENTENCES.items() for k, (kind, title, target, rel) in enumerate(found, 1)]
+    rows = [f"SELECT l_orderkey, 'a{line}' AS path, {k} AS place, '{kind}' AS kind, {value(title)} AS title, {value(target)} AS target, '{rel}' AS rel FROM l WHERE l_linenumber = {line % SECOND}" for line, (_, found) in SENTENCES.items() for k, (kind, title, target, rel) in enumerate(found, 1)]
     return f"WITH l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) % 9 + 1 AS n FROM lineitem GROUP BY ALL) {' UNION ALL '.join(rows)}"
 
 
 @query("citation_passes", _passages_sql())
 def citation_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line number of an order is a provision with a sentence of its own; the sixth uses an abbreviation that its order defines."""
+    """Each line number of an order is a provision with a sentence of its own, some are two; the sixth uses an abbreviation that its order defines."""
     n = (F.min("l_suppkey") % 9 + 1).alias("n")
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(n)  # noqa: E741
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(n)
+    seconds = [x - SECOND for x in SENTENCES if x > SECOND]
+    number = F.explode(F.when(F.col("l_linenumber").isin(seconds), F.array("l_linenumber", F.col("l_linenumber") + SECOND)).otherwise(F.array("l_linenumber")))
+    l = line.withColumn("l_linenumber", number)  # noqa: E741
     text = F.lit(None).cast("string")
     for line, (sentence, _) in SENTENCES.items():
         s = F.lit(sentence)

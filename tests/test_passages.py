@@ -21,6 +21,13 @@ CASES = {
     ("a8", None, "여비규정에 의하여 주고 회계규정에서 위임한 것은 뺀다."): [("named", "여비규정", None, "BASIS"), ("named", "회계규정", None, "IMPLEMENTS")],
     ("supp1", None, "여비규정 일부를 다음과 같이 개정한다. 제3조를 고친다."): [("named", "여비규정", "a3", "CITATION")],
     ("a1", None, "「공무원법」 제5조에 따라 정한다."): [("external", "공무원법", "a5", "IMPLEMENTS")],
+    ("a13", None, "공공기관의 운영에 관한 법률 제5조부터 제7조까지를 따르고, 제8조를 본다."): [("named", "공공기관의 운영에 관한 법률", "a5", "CITATION"), ("named", "공공기관의 운영에 관한 법률", "a7", "CITATION"), ("internal", None, "a8", "CITATION")],
+    ("a14", None, "이 규칙은 공공기관의 운영에 관한 법률 시행령 제3조에 의하여 만든다."): [("named", "공공기관의 운영에 관한 법률 시행령", "a3", "BASIS")],
+    ("a15", None, "인사규정 제5조(직위의 해제) 및 제6조(복직)를 준용한다."): [("named", "인사규정", "a5", "MUTATIS"), ("named", "인사규정", "a6", "MUTATIS")],
+    ("a16", None, "보수내규 제2조, 업무편람 제3조, 행동강령 제4조와 정관 제5조를 본다."): [("named", "보수내규", "a2", "CITATION"), ("named", "업무편람", "a3", "CITATION"), ("named", "행동강령", "a4", "CITATION"), ("named", "정관", "a5", "CITATION")],
+    ("annex3", None, "표준 계약서(제7조 관련)\n제1조(총칙) 갑과 을은 제2조를 지킨다.\n제2조(기간) 여비규정 제4조에 따른다."): [("internal", None, "a7", "CITATION"), ("named", "여비규정", "a4", "BASIS")],
+    ("annex4", None, "제3조와 제4조를 본다."): [("internal", None, "a3", "CITATION"), ("internal", None, "a4", "CITATION")],
+    ("a17", None, "『공무원 여비 규정』 제3조 및 제4조를 준용한다."): [("named", "공무원 여비 규정", "a3", "MUTATIS"), ("named", "공무원 여비 규정", "a4", "MUTATIS")],
     ("a11", None, None): [],
     ("a12", None, ""): [],
 }
@@ -45,3 +52,5 @@ def test_cited(found, k):
 def test_abbreviations(spark):
     d = spark.createDataFrame([("a", "「공직자의 이해충돌 방지법」(이하 “법”이라 한다) 제2조"), ("a", None), ("b", "“법”")], "doc string, text string")
     assert [tuple(r) for r in P.abbreviations(d, "doc", "text").collect()] == [("a", "법", "공직자의 이해충돌 방지법")]
+    d = spark.createDataFrame([("c", "도로법(이하 ‘법’이라 한다)과 같은 법 시행령 (이하 “영”이라 함)에 따른다. 회계규정 (이하 \"규정\"이라 한다)"), ("d", "같은 법 시행령(이하 “영”이라 한다)")], "doc string, text string")
+    assert sorted(tuple(r) for r in P.abbreviations(d, "doc", "text").collect()) == [("c", "규정", "회계규정"), ("c", "법", "도로법"), ("c", "영", "도로법 시행령")]
