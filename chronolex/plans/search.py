@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators import analyzer as N
 from chronolex.operators import keywords as K
 from chronolex.operators import retrieval as R
 from chronolex.plans.catalog import query, table
@@ -120,6 +121,28 @@ def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.drop("matched")
 
 
+@query(
+    "compound_words",
+    """SELECT p_partkey, string_split(p_name, ' ')[1] || ',' || string_split(p_name, ' ')[2] || ',' || lower(p_type) || ',' || 'zqzq' AS terms FROM part""",
+)
+def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts written in one word with their kind: split by the words that names and kinds have; what no word covers stays."""
+    part = table(spark, sf_dir, "part")
+    words = N.lexicon(part.select(F.concat_ws(" ", "p_name", "p_type").alias("t")), "t")
+    split = N.analyzer(words)
+    joined = part.select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_type"), F.lit(" zqzq")).alias("t"))
+    return joined.select("p_partkey", F.array_join(split(F.col("t")), ",").alias("terms"))
+
+
+@query("analyzed_bm25")
+def analyzed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits with rare words split and "license" and "licensed" asked as one; held against plain loops in the tests."""
+    docs = table(spark, sf_dir, "documents")
+    words = N.lexicon(docs, "text")
+    asks = N.analyzer(words, synonyms=[("license", "licensed"), ("version", "release")])
+    return K.best_hits(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 10, {"text": 1.0}, tokenizer=N.analyzer(words), ask_tokenizer=asks)
+
+
 @query("highlight_terms", r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(licensed|license|version)\b', '<mark>\1</mark>', 'g')) AS digest FROM documents WHERE regexp_matches(text, '(?i)\b(licensed|license|version)\b')")
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ["licensed", "license", "version"]
