@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import analyzer as N
 from chronolex.operators import keywords as K
+from chronolex.operators import postings as P
 from chronolex.operators import retrieval as R
 from chronolex.plans.catalog import query, table
+from chronolex.sources.storage import shared_folder
 
 BM25_SQL = """
 d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-zà-ÿß]+') AS t FROM documents), n AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM d),
@@ -105,22 +109,44 @@ def keyword_only_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_hits(spark, sf_dir, 5).select("item_id", "doc_id", "rank", F.lit(True).alias("degraded"))
 
 
-@query(
-    "bm25_fields",
-    r"""WITH q AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿß]+'))) AS t FROM benchmark), qt AS (SELECT item_id, unnest(t) AS term FROM q),
-    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿß]+') AS t0, regexp_extract_all(lower(lang), '[a-zà-ÿß]+') AS t2, regexp_extract_all(lower(source), '[a-zà-ÿß]+') AS t1 FROM documents),
-    l AS (SELECT doc_id, 0 AS f, t0 AS t FROM d UNION ALL SELECT doc_id, 1, t1 FROM d UNION ALL SELECT doc_id, 2, t2 FROM d), n AS (SELECT f, count(*) AS docs, avg(len(t)) AS avgdl FROM l GROUP BY f),
-    p AS (SELECT doc_id, f, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, f, len(t) AS dl, unnest(t) AS term FROM l) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), c AS (SELECT f, term, count(*) AS df FROM p GROUP BY ALL),
-    s AS (SELECT item_id, doc_id, f, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS s FROM p JOIN qt USING (term) JOIN c USING (f, term) JOIN n USING (f) GROUP BY ALL),
-    g AS (SELECT item_id, doc_id, round(greatest(coalesce(max(s) FILTER (f = 0), 0), 3 * coalesce(max(s) FILTER (f = 1), 0)) + coalesce(max(s) FILTER (f = 2), 0), 6) AS score, bool_or(f < 2) AS hit FROM s GROUP BY ALL)
-    SELECT * EXCLUDE (hit), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE hit QUALIFY rank <= 10""",
-)
+FIELDS_SQL = r"""WITH q AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿß]+'))) AS t FROM benchmark), qt AS (SELECT item_id, unnest(t) AS term FROM q),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿß]+') AS t0, regexp_extract_all(lower(lang), '[a-zà-ÿß]+') AS t2, regexp_extract_all(lower(source), '[a-zà-ÿß]+') AS t1 FROM documents),
+l AS (SELECT doc_id, 0 AS f, t0 AS t FROM d UNION ALL SELECT doc_id, 1, t1 FROM d UNION ALL SELECT doc_id, 2, t2 FROM d), n AS (SELECT f, count(*) AS docs, avg(len(t)) AS avgdl FROM l GROUP BY f),
+p AS (SELECT doc_id, f, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, f, len(t) AS dl, unnest(t) AS term FROM l) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), c AS (SELECT f, term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT item_id, doc_id, f, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS s FROM p JOIN qt USING (term) JOIN c USING (f, term) JOIN n USING (f) GROUP BY ALL),
+g AS (SELECT item_id, doc_id, round(greatest(coalesce(max(s) FILTER (f = 0), 0), 3 * coalesce(max(s) FILTER (f = 1), 0)) + coalesce(max(s) FILTER (f = 2), 0), 6) AS score, bool_or(f < 2) AS hit FROM s GROUP BY ALL)
+SELECT * EXCLUDE (hit), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE hit QUALIFY rank <= 10"""
+
+
+@query("bm25_fields", FIELDS_SQL)
 def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of the text and three times the source, with something more for the language."""
     hits = K.best_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 10, {"text": 1.0, "source": 3.0}, "lang")
     return hits.drop("matched")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> P.Search:
+    """An index written in two segments: French documents come with a stale text first, and anew."""
+    root = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    stale = docs.withColumn("text", F.when(F.col("lang") == "fr", "stale license text").otherwise(F.col("text")))
+    P.write_segment(stale, "doc_id", ["text", "source", "lang"], root, 0, order=["lang", "source"])
+    P.write_segment(docs.filter("lang = 'fr'"), "doc_id", ["text", "source", "lang"], root, 1, order=["source"])
+    return P.Search(P.read_index(spark, root, 2), table(spark, sf_dir, "benchmark"), "item_id", "text", 10, [1.0, 3.0, 1.0], bonus=True)
+
+
+@query("indexed_bm25", FIELDS_SQL)
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``bm25_fields`` finds by a scan, from a written index that was changed since."""
+    return search_index(spark, sf_dir).hits().withColumnRenamed("doc", "doc_id")
+
+
+@query("index_blocks_read")
+def index_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of its terms each item has, and how many lie in buckets that could hold one of its ten best."""
+    return search_index(spark, sf_dir).report()
+
+
 @query(
     "compound_words",
     """SELECT p_partkey, string_split(p_name, ' ')[1] || ',' || string_split(p_name, ' ')[2] || ',' || lower(p_type) || ',' || 'zqzq' AS terms FROM part""",
