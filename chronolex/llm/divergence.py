@@ -31,8 +31,6 @@ MIN_DOCS, TOP, SMOOTHING, UNIT = 30, 50, 5, 1_000_000_000
 TERMS = bytewords.table(bytewords.LETTERS)
 #: Counted terms that a task holds before it passes them on, and rows that go through SQL at once.
 FLUSH_ROWS = 1_000_000
-#: Counts per shard aimed at; a shard is one task.
-SHARD_ROWS = 400_000
 #: Groups (lang, source) that are sent to the tasks; beyond it they are joined to the terms.
 SENT_GROUPS = 100_000
 MEMORY = "300MB"
@@ -154,8 +152,8 @@ def audit(groups, schema: pa.Schema, top: int, step: int) -> Callable[[Iterator[
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, piece_bytes: int = bytewords.PIECE_BYTES) -> DataFrame:
     """(lang, term, total, sources, counts) of the terms in min_docs documents of a lang or more, written."""
     d = docs.select("text", "lang", "source").select("text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
-    counts = cut(d.mapInArrow(counter(_arrow(PARTIAL), FLUSH_ROWS, piece_bytes), PARTIAL))
-    dealt = counts.repartition(max(-(-counts.count() // SHARD_ROWS), 1), "lang", "term")
+    counts = d.mapInArrow(counter(_arrow(PARTIAL), FLUSH_ROWS, piece_bytes), PARTIAL)
+    dealt = counts.repartition("lang", "term")  # as many shards as the session has shuffle partitions, or fewer by size
     return cut(dealt.mapInArrow(shard(_arrow(KEPT), min_docs), KEPT))
 
 

@@ -59,9 +59,8 @@ def test_random_documents(spark, monkeypatch):
     docs = drawn(1, 400)
     want = brute(docs, 12, 4)
     assert rows(V.divergence(frame(spark, docs), 12, 4), *COLUMNS) == want
-    # Few rows at a time, several shards, langs in blocks, long texts in pieces.
+    # Few rows at a time, langs in blocks, long texts in pieces.
     monkeypatch.setattr(V, "FLUSH_ROWS", 20)
-    monkeypatch.setattr(V, "SHARD_ROWS", 50)
     monkeypatch.setattr(V, "SENT_GROUPS", 6)
     assert rows(V.divergence(frame(spark, docs).repartition(3), 12, 4, piece_bytes=16), *COLUMNS) == want
 
