@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.operators import upsert as U
 from chronolex.plans.catalog import query, table
+from chronolex.sources import releases as R
+from chronolex.sources.storage import shared_folder
 
 CUT = "2024-01-15"
 KEYS = ["user_id", "event_type"]
@@ -155,3 +159,20 @@ def unhandled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     handlers = spark.createDataFrame([(t,) for t in ("click", "view", "purchase")], "topic string")
     pending = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("pending"), F.min("event_id").alias("oldest"))
     return pending.join(handlers, "topic", "left_anti")
+
+
+@query(
+    "keyed_releases",
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), c AS (SELECT DISTINCT o_custkey FROM o WHERE o_totalprice > 440000), g AS (SELECT o_custkey FROM o GROUP BY 1 HAVING min(o_totalprice) > 150000)
+    SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (FROM c) THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM o WHERE o_custkey IN (FROM c) OR o_custkey NOT IN (FROM g)""",
+)
+def keyed_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table keyed by customer: some customers' orders come anew, some customers go; their buckets are rewritten, the rest is taken over."""
+    root = f"{shared_folder(spark)}/releases-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    R.publish(o, root, keys=["o_custkey"], buckets=16)
+    dear = o.filter("o_totalprice > 440000").select("o_custkey").distinct()
+    gone = o.groupBy("o_custkey").agg(F.min("o_totalprice").alias("least")).filter("least > 150000")
+    changes = o.join(dear, "o_custkey", "left_semi").withColumn("o_orderstatus", F.lit("X"))
+    R.replace_keys(changes, root, gone=gone.join(dear, "o_custkey", "left_anti"))
+    return R.read(spark, root)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolex.sources import releases
+
 #: First bytes of file kinds in hexadecimal digits (fixed values).
 MAGIC = {"pdf": "25504446", "ole": "D0CF11E0A1B11AE1", "zip": "504B0304"}
 #: Office names that share the compound file format with word-processor files (fixed values).
@@ -59,15 +61,11 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("header", True).csv(folder)
 
 
-def publish(spark: SparkSession, df: DataFrame, root: str, release: str) -> str:
-    """Write a release beside the others, then point to it: readers of the pointer see one release or the other."""
-    path = f"{root}/releases/{release}"
-    df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(release,)], "release string").coalesce(1).write.mode("append").json(f"{root}/pointer")
-    return path
+def publish(spark: SparkSession, df: DataFrame, root: str, release: str) -> int:
+    """Write a release beside the others and put it in force in one step: readers see one release or the other."""
+    return releases.publish(df, root, note=release).number
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    """The release that was pointed to last (release names sort by time)."""
-    last = spark.read.schema("release string").json(f"{root}/pointer").agg(F.max("release")).first()[0]
-    return spark.read.parquet(f"{root}/releases/{last}")
+    """The release that came in force last."""
+    return releases.read(spark, root)
