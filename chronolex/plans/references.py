@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from chronolex.operators import structure as S
 from chronolex.plans.catalog import query, table
 from chronolex.sources import bodies as B
 from chronolex.sources import documents as D
+from chronolex.sources import listing as L
+from chronolex.sources.storage import shared_folder
 
 LINES_SQL = """
 l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem),
@@ -226,6 +230,26 @@ def rule_listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.rule_listing(pages, "json", ["s_nationkey"]).select("s_nationkey", "seq", "title", "fingerprint")
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Customers of each nation as archived list pages, numbered by nation; tells the folder."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    entry = F.struct(F.col("c_custkey").cast("string").alias("seq"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("division"))
+    pages = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("page")).agg(F.to_json(F.struct(F.count("*").alias("total"), F.sort_array(F.collect_list(entry)).alias("rows"))).alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(folder)
+    return folder
+
+
+PAGES_SQL = "SELECT CAST(c_nationkey AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_custkey AS VARCHAR)) AS INT) AS place, count(*) OVER (PARTITION BY c_nationkey) AS total, CAST(c_custkey AS VARCHAR) AS seq, c_name AS title, c_mktsegment AS division FROM customer"
+
+
+@query("paged_listing", f"SELECT * FROM ({PAGES_SQL}) WHERE page >= 5")
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived pages read through the data source, from the fifth on: earlier ones aren't opened."""
+    L.register(spark)
+    d = spark.read.format("paged_listing").option("pagesPerPartition", 4).load(archived_pages(spark, sf_dir)).filter("page >= 5")
+    return d.select("page", "place", "total", F.from_json("entry", "seq string, title string, division string").alias("e")).select("page", "place", "total", "e.*")
+
+
 @query(
     "statute_body_xml",
     """WITH l AS (SELECT l_orderkey, 'a' || l_linenumber || CASE WHEN l_suppkey % 3 > 0 THEN '-' || (l_suppkey % 3) ELSE '' END AS path, l_returnflag AS flag, CAST(trunc(l_quantity) AS INT) AS q FROM lineitem)
