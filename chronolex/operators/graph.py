@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,44 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, priority: str, seed:
     return out.filter("hops > 0")
 
 
+def redated(edges: DataFrame, versions: DataFrame, at: Column) -> DataFrame:
+    """The edges with dst moved to the version of its lineage that is valid at a date, and ``stale`` where there is none.
+
+    versions: node, lineage, valid_from, valid_to (null bounds are open, the end is not within). An edge keeps a stale dst as it is;
+    nodes without a version are valid as they are.
+    """
+    within = (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
+    now = versions.filter(within).groupBy("lineage").agg(F.max_by("node", F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))).alias("_now"))
+    known = versions.select(F.col("node").alias("dst"), "lineage").join(now, "lineage", "left").select("dst", "_now", F.lit(True).alias("_known"))
+    d = edges.join(known, "dst", "left")
+    stale = F.col("_known").isNotNull() & F.col("_now").isNull()
+    return d.withColumn("stale", stale).withColumn("dst", F.coalesce("_now", "dst")).drop("_now", "_known")
+
+
+def evidence(edges: DataFrame, seeds: DataFrame, depth: int, most: int, seed: str = "seed") -> DataFrame:
+    """(seed, node, hops, rank, via, stale, place): the ``most`` best nodes around each seed, by hops, then rank, then node.
+
+    edges: src, dst, rank (small is good), stale (of dst; nothing is reached over it). Nearer nodes come first, so a seed that has
+    enough is not expanded any further, and one that hasn't has fewer than ``most`` nodes to expand. Of a node's edges the 2 * most + 1
+    best are enough: of those before one that is wanted at most ``most`` were found already, one is the seed, and the others are
+    wanted themselves. So a hop moves seeds * most * (2 * most + 1) rows at most, whatever the degree of hubs.
+    """
+    best = Window.partitionBy("src").orderBy("rank", "dst")
+    one = edges.groupBy("src", "dst").agg(F.min("rank").alias("rank"), F.max("stale").alias("stale"))
+    few = one.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= 2 * most + 1).drop("_k")
+    order = Window.partitionBy(seed).orderBy("hops", "rank", "node")
+    reached, frontier = None, seeds.select(seed, "node").distinct()
+    for hop in range(1, depth + 1):
+        step = frontier.withColumnRenamed("node", "via").join(few.withColumnRenamed("src", "via"), "via").filter(F.col("dst") != F.col(seed))
+        step = step.select(seed, F.col("dst").alias("node"), F.struct(F.lit(hop).alias("hops"), "rank", "via").alias("_at"), "stale")
+        every = (step if reached is None else reached.select(seed, "node", F.struct("hops", "rank", "via").alias("_at"), "stale").unionByName(step)).repartition(seed)
+        reached = every.groupBy(seed, "node").agg(F.min("_at").alias("_at"), F.max("stale").alias("stale")).select(seed, "node", "_at.*", "stale")
+        reached = reached.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        held = F.count("*").over(Window.partitionBy(seed))
+        frontier = reached.withColumn("_n", held).filter((F.col("_n") < most) & (F.col("hops") == hop) & ~F.col("stale")).select(seed, "node")
+    return reached
+
+
 def limited(nodes: DataFrame, seed: str, order: list, most: int) -> DataFrame:
     w = Window.partitionBy(seed).orderBy(*order)
     return nodes.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
