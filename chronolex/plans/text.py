@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions import dates as T
+from chronolex.functions import highlights as H
 from chronolex.functions import text as X
 from chronolex.operators.retrieval import small_side
 from chronolex.plans.catalog import query, table
@@ -206,3 +207,20 @@ def followup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.col("role"), F.lit(":"), F.col("text"))
     d = table(spark, sf_dir, "conversations").withColumn("before", F.collect_list(line).over(w))
     return d.select("conv_id", "turn", F.when(F.size("before") > 0, F.md5(F.array_join("before", "\n"))).alias("context"), F.size("before").cast("long").alias("messages"))
+
+
+SHOWN = ["the", "license", "version", "and", "that", "with", "data"]
+
+
+@query(
+    "highlight_window",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿß]+') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM d),
+    h AS (SELECT * FROM w WHERE word IN ({", ".join(f"'{t}'" for t in SHOWN)})),
+    c AS (SELECT a.doc_id, a.place AS first, b.place AS last, (SELECT count(DISTINCT x.word) FROM h x WHERE x.doc_id = a.doc_id AND x.place BETWEEN a.place AND b.place) AS covered FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.place BETWEEN a.place AND a.place + 11)
+    SELECT c.doc_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(covered AS INT) AS covered, (SELECT count(*) FROM h x WHERE x.doc_id = c.doc_id AND x.place BETWEEN first AND last) AS marks FROM c QUALIFY row_number() OVER (PARTITION BY c.doc_id ORDER BY covered DESC, last - first, first) = 1""",
+)
+def highlight_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve words of each document that show the most of seven asked ones."""
+    asked = F.array(*map(F.lit, SHOWN))
+    d = table(spark, sf_dir, "documents").select("doc_id", H.highlight_window(F.col("text"), asked, 12).alias("w")).filter("w.first IS NOT NULL")
+    return d.select("doc_id", "w.first", "w.last", "w.covered", F.size("w.spans").cast("long").alias("marks"))
