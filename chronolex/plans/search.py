@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import analyzer as N
+from chronolex.operators import clusters as V
 from chronolex.operators import keywords as K
 from chronolex.operators import postings as P
 from chronolex.operators import retrieval as R
@@ -213,6 +214,36 @@ def contains_join_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.distinct().groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+def clustered(spark: SparkSession, sf_dir: str, allowed=None) -> V.Search:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    centres = V.centres_of(e, "embedding", max(e.count() // V.ROWS, 32))
+    folder = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    V.assigned(e, "embedding", centres).write.partitionBy("cluster").parquet(folder)
+    asks = e.join(R.small_side(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), R.BROADCAST_TERMS), "doc_id").select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("asked"))
+    return V.Search(spark.read.parquet(folder), centres, asks, "item_id", "asked", "doc_id", "embedding", 10, allowed)
+
+
+@query("clustered_knn", f"WITH {VECTOR_SQL} SELECT item_id, doc_id, score, rank FROM vs WHERE rank <= 10")
+def clustered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``knn_exact`` finds, by clusters that are left out where their radius allows."""
+    return clustered(spark, sf_dir).hits()
+
+
+@query(
+    "filtered_knn",
+    f"WITH {VECTOR_SQL}, f AS (SELECT cv.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cv JOIN embeddings ON vec_id = doc_id WHERE label = 3) SELECT item_id, doc_id, score, rank FROM f WHERE rank <= 10",
+)
+def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of the rows with one label: the filter is in the search, not behind it."""
+    return clustered(spark, sf_dir, F.col("label") == 3).hits()
+
+
+@query("clusters_compared")
+def clusters_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all rows, how many each item was compared with."""
+    return clustered(spark, sf_dir).report()
+
+
 @query(
     "centroid_classify",
     """WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label AS c, i, avg(CAST(v AS DOUBLE)) AS mv FROM x GROUP BY ALL),
