@@ -129,7 +129,7 @@ def duplicate_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_parts(spark, sf_dir).select("version", "ord", "path", "hash")
 
 
-DIFF_SQL = f"""{PARTS_SQL},
+CHANGES_SQL = """
 o AS (SELECT o_custkey, p.prev, p.version, x.* EXCLUDE (version) FROM pairs p JOIN parts x ON x.version = p.prev),
 n AS (SELECT p.o_custkey, p.prev, x.* FROM pairs p JOIN parts x ON x.version = p.version),
 j AS (SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, coalesce(o.prev, n.prev) AS prev, coalesce(o.version, n.version) AS version, o.path AS op, n.path AS np, o.hash AS oh, n.hash AS nh,
@@ -141,6 +141,7 @@ m AS (SELECT coalesce(g.o_custkey, c.o_custkey) AS o_custkey, coalesce(g.prev, c
 s AS (SELECT o_custkey, prev, version, op AS old_path, np AS new_path, CASE WHEN oh <> nh OR oe <> ne THEN 'MODIFIED' WHEN ot <> nt THEN 'ANNOTATION_ONLY' END AS change_kind FROM j WHERE op IS NOT NULL AND np IS NOT NULL),
 changes AS (SELECT * FROM m UNION ALL SELECT * FROM s WHERE change_kind IS NOT NULL)
 """
+DIFF_SQL = f"{PARTS_SQL}, {CHANGES_SQL}"
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
