@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronolex.operators import analyzer as N
 from chronolex.operators import clusters as V
 from chronolex.operators import keywords as K
+from chronolex.operators import orchestration as O
 from chronolex.operators import postings as P
 from chronolex.operators import retrieval as R
 from chronolex.plans.catalog import query, table
@@ -299,3 +300,32 @@ def best_overlapping_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("item_id").orderBy(F.desc("common"), "doc_id", "sentence")
     best = met.withColumn("k", F.row_number().over(w)).filter("k = 1")
     return best.select("item_id", "doc_id", F.md5("sentence").alias("sentence"), F.round(F.col("common") / F.size("q"), 6).alias("cover"))
+
+
+PINNED_SQL = f"""WITH {BM25_SQL}, wk AS (SELECT DISTINCT doc_id // 8 AS work, 'Rule ' || (doc_id // 8) % 40 AS title, 'Institute ' || chr(CAST(65 + (doc_id // 8) % 7 AS INT)) AS owner FROM documents),
+pl AS (SELECT doc_id // 8 AS work, 'a' || (doc_id % 8 + 1) AS article, doc_id % 3 + 1 AS p FROM documents),
+ak AS (SELECT item_id AS ask, CASE WHEN item_id % 5 = 0 THEN 'Institute B' END AS chosen, CASE WHEN item_id % 4 IN (0, 2) THEN 'Institute ' || chr(CAST(65 + item_id % 7 AS INT)) END AS said, CASE WHEN item_id % 4 < 2 THEN 'Rule ' || item_id % 40 END AS title,
+  CASE WHEN item_id % 4 < 2 THEN 'a' || (item_id % 9 + 1) END AS article, item_id % 3 + 1 AS p FROM benchmark),
+ow AS (SELECT *, coalesce(chosen, said) AS owner FROM ak),
+rk AS (SELECT ask, work, 'a' || (doc_id % 8 + 1) AS article, max(score) AS score FROM kw JOIN ow ON ask = item_id JOIN wk ON work = doc_id // 8 WHERE ow.owner IS NULL OR ow.owner = wk.owner GROUP BY ALL),
+lu AS (SELECT ask, pl.work, pl.article, CASE WHEN pl.p = o.p THEN pl.article || '.p' || pl.p ELSE pl.article END AS path FROM ow o JOIN wk ON wk.title = o.title AND (coalesce(said, chosen) IS NULL OR coalesce(said, chosen) = wk.owner) JOIN pl ON pl.work = wk.work AND pl.article = o.article
+  WHERE o.owner IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ask ORDER BY pl.p <> o.p, pl.work) = 1),
+al AS (SELECT ask, work, article, score, lu.path FROM rk FULL JOIN lu USING (ask, work, article))
+SELECT ask, row_number() OVER (PARTITION BY ask ORDER BY path IS NULL, score DESC NULLS LAST, work, article) AS place, work, article, score, path IS NOT NULL AS pinned, path FROM al QUALIFY place <= 10"""
+
+
+@query("pinned_search", PINNED_SQL)
+def pinned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items ask, some of them after a cited place or within an institute: eight documents make a work, its articles are found by keywords or by number."""
+    text = lambda c: c.cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("work"), F.concat(F.lit("a"), text(F.col("doc_id") % 8 + 1)).alias("article"))
+    institute = lambda c: F.concat(F.lit("Institute "), F.char(F.lit(65) + c % 7))
+    works = d.select("work").distinct().select("work", F.concat(F.lit("Rule "), text(F.col("work") % 40)).alias("title"), institute(F.col("work")).alias("owner"))
+    places = d.select("work", F.explode(F.array("article", F.concat("article", F.lit(".p"), text(F.col("doc_id") % 3 + 1)))).alias("path"))
+    k = F.col("item_id")
+    said = F.when(k % 4 % 2 == 0, F.concat(institute(k), F.lit(" "))).otherwise("")
+    cited = F.when(k % 4 < 2, F.concat(F.lit("Rule "), text(k % 40), F.lit(" 제"), text(k % 9 + 1), F.lit("조 제"), text(k % 3 + 1), F.lit("항"))).otherwise("expenses")
+    asked = table(spark, sf_dir, "benchmark").select(k.alias("ask"), F.concat(said, cited).alias("question"), F.when(k % 5 == 0, "Institute B").alias("chosen"))
+    aliases = works.select(F.col("owner").alias("name"), "owner").distinct()
+    hits = keyword_hits(spark, sf_dir).join(d, "doc_id").groupBy(k.alias("ask"), "work", "article").agg(F.max("score").alias("score"))
+    return O.searched(asked, hits, works, places, aliases)
