@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import alignment as A
+from chronolex.operators import answers as V
 from chronolex.operators import names as N
 from chronolex.plans.catalog import query, table
 
@@ -63,3 +64,48 @@ def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = N.keys_of(titles.withColumn("work", F.col("title")), "work", "title")
     hits = N.names_in(texts, "l_orderkey", "text", keys, prefixes=["Maker"])
     return hits.join(keys, "key").select("l_orderkey", "start", "end", "name", "works", "work")
+
+
+_UNITS = "주일|개월|만원|천원|원|일|주|월|년|회|시간|%|조|항|호"
+_QTY = lambda t: f"list_distinct(list_transform(list_zip(regexp_extract_all({t}, '([0-9]+(?:\\.[0-9]+)?)\\s*({_UNITS})?', 1), regexp_extract_all({t}, '([0-9]+(?:\\.[0-9]+)?)\\s*({_UNITS})?', 2)), lambda x: x[1] || CASE WHEN x[2] = '주일' THEN '주' ELSE x[2] END))"
+_LIMITS = lambda t: f"list_transform(list_zip(regexp_extract_all({t}, '([0-9]+)\\s*(주일|개월|일|주|월)\\s*이내', 1), regexp_extract_all({t}, '([0-9]+)\\s*(주일|개월|일|주|월)\\s*이내', 2)), lambda x: x[1] || CASE WHEN x[2] = '주일' THEN '주' ELSE x[2] END)"
+
+VERIFIED_SQL = rf"""WITH l AS (SELECT l_orderkey AS answer, l_linenumber AS id, CAST(min(l_quantity) AS INT) % 30 + 1 AS n, min(l_partkey) % 50 AS money, ['일', '주일', '개월'][l_linenumber % 3 + 1] AS u FROM lineitem GROUP BY ALL),
+ev AS (SELECT *, '규정' AS title, '제' || id || '조' AS label, '신청은 사유가 생긴 날부터 ' || n || u || ' 이내에 ' || money || '만원 범위에서 하여야 한다.' AS text FROM l),
+ci AS (SELECT answer, id, CASE WHEN (answer + id) % 5 = 0 THEN '어디에도 나오지 아니하는 문장' ELSE left(text, 19) END AS quote, (answer + id) % 5 <> 0 AS good FROM ev WHERE id <= 3 UNION ALL SELECT o_orderkey, 99, '신청은 사유가 생긴 날부터', false FROM orders WHERE o_orderkey % 11 = 0),
+g AS (SELECT ci.answer, count(*) AS cites, bool_and(ev.id IS NOT NULL) AS exist, count(*) FILTER (good) AS good, string_agg(title || ' ' || label || ' ' || text, chr(10)) FILTER (good) AS gt, string_agg(title || ' ' || label || ' ' || text, chr(10)) AS whole FROM ci LEFT JOIN ev USING (answer, id) GROUP BY ALL),
+an AS (SELECT o_orderkey AS answer, ['충족', '미충족', '조건부'][o_orderkey % 3 + 1] AS verdict, CASE WHEN o_orderkey % 2 = 0 THEN '신청한 지 ' || o_custkey % 40 || '일' ELSE '' END AS question,
+  coalesce('제' || f.id || '조의 기한은 ' || (f.n + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) || f.u || ' 이내이고 ', '') || o_custkey % 40 || '일이 지났습니다.' || ['', ' 기한을  넘겼습니다.', ' 문제가없습니다.', ' 기한 안입니다.'][o_orderkey % 4 + 1] AS expl FROM orders LEFT JOIN (SELECT answer, min(id) AS id, arg_min(n, id) AS n, arg_min(u, id) AS u FROM l GROUP BY answer) f ON f.answer = o_orderkey),
+d AS (SELECT an.*, coalesce(exist, false) AS exist, CASE WHEN exist THEN good ELSE 0 END AS held, coalesce(cites, 0) AS cites, coalesce(CASE WHEN exist AND good > 0 THEN gt ELSE whole END, '') AS t FROM an LEFT JOIN g USING (answer)),
+x AS (SELECT *, {_QTY("expl")} AS said, {_QTY("t")} AS shown, {_LIMITS("expl")} AS sl, {_LIMITS("t")} AS tl, regexp_extract_all(question, '[0-9]+') AS fq FROM d),
+y AS (SELECT *, list_concat(fq, list_transform(list_filter(tl, lambda z: ends_with(z, '일')), lambda z: regexp_extract(z, '[0-9]+')), list_transform(list_filter(tl, lambda z: ends_with(z, '주')), lambda z: CAST(CAST(regexp_extract(z, '[0-9]+') AS INT) * 7 AS VARCHAR)), list_transform(list_filter(tl, lambda z: ends_with(z, '개월')), lambda z: CAST(CAST(regexp_extract(z, '[0-9]+') AS INT) * 28 AS VARCHAR)), list_transform(list_filter(tl, lambda z: ends_with(z, '개월')), lambda z: CAST(CAST(regexp_extract(z, '[0-9]+') AS INT) * 31 AS VARCHAR))) AS free FROM x),
+c AS (SELECT answer, exist AS citations_exist, held > 0 AS quotes_match,
+  len(list_filter(said, lambda z: NOT (list_contains(free, regexp_extract(z, '[0-9.]+')) OR list_contains(shown, z) OR (regexp_matches(z, '^[0-9.]+[조항호]?$') AND list_contains(list_transform(shown, lambda s: regexp_extract(s, '[0-9.]+')), regexp_extract(z, '[0-9.]+')))))) = 0
+  AND len(list_filter(sl, lambda z: NOT (list_contains(tl, z) OR list_contains(list_transform(list_filter(tl, lambda s: ends_with(s, '주')), lambda s: CAST(CAST(regexp_extract(s, '[0-9]+') AS INT) * 7 AS VARCHAR) || '일'), z)))) = 0 AS numbers_match,
+  NOT ((verdict = '충족' AND regexp_matches(expl, '기한을\s*넘')) OR (verdict = '미충족' AND regexp_matches(expl, '문제가\s*없|기한\s*안입니다'))) AS consistent, cites - held AS dropped FROM y)
+SELECT *, array_to_string(list_filter([CASE WHEN NOT citations_exist THEN 'citation' END, CASE WHEN NOT quotes_match THEN 'quote' END, CASE WHEN NOT numbers_match THEN 'number' END, CASE WHEN NOT consistent THEN 'consistency' END], lambda z: z IS NOT NULL), ',') AS problems FROM c"""
+
+
+@query("answers_verified", VERIFIED_SQL)
+def answers_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each order that cites the order's lines as provisions: some sources, quotes, numbers, limits and verdicts are wrong."""
+    s = lambda c: c.cast("string")
+    key, k = F.col("o_orderkey"), F.col("id")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("일", "주일", "개월")]), k % 3 + 1)
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("id"))
+    line = line.agg((F.min("l_quantity").cast("int") % 30 + 1).alias("n"), (F.min("l_partkey") % 50).alias("money")).withColumn("u", unit)
+    text = F.concat(F.lit("신청은 사유가 생긴 날부터 "), s(F.col("n")), "u", F.lit(" 이내에 "), s(F.col("money")), F.lit("만원 범위에서 하여야 한다."))
+    evidence = line.select("answer", "id", F.lit("규정").alias("title"), F.concat(F.lit("제"), s(k), F.lit("조")).alias("label"), text.alias("text"))
+    quote = F.when((F.col("answer") + k) % 5 == 0, "어디에도 나오지 아니하는 문장").otherwise(F.left("text", F.lit(19)))
+    orders = table(spark, sf_dir, "orders")
+    absent = orders.filter(key % 11 == 0).select(key.alias("answer"), F.lit(99).alias("id"), F.lit("신청은 사유가 생긴 날부터").alias("quote"))
+    cites = evidence.filter("id <= 3").select("answer", "id", quote.alias("quote")).unionByName(absent)
+    first = line.groupBy("answer").agg(F.min(F.struct("id", "n", "u")).alias("f"))
+    d = orders.withColumn("answer", key).join(first, "answer", "left")
+    days = F.concat(s(F.col("o_custkey") % 40), F.lit("일"))
+    limit = F.concat(F.lit("제"), s(F.col("f.id")), F.lit("조의 기한은 "), s(F.col("f.n") + F.when(key % 6 == 0, 1).otherwise(0)), F.col("f.u"), F.lit(" 이내이고 "))
+    end = F.element_at(F.array(*[F.lit(x) for x in ("", " 기한을  넘겼습니다.", " 문제가없습니다.", " 기한 안입니다.")]), (key % 4 + 1).cast("int"))
+    verdict = F.element_at(F.array(*[F.lit(x) for x in ("충족", "미충족", "조건부")]), (key % 3 + 1).cast("int"))
+    question = F.when(key % 2 == 0, F.concat(F.lit("신청한 지 "), days)).otherwise("")
+    answers = d.select("answer", question.alias("question"), verdict.alias("verdict"), F.concat(F.coalesce(limit, F.lit("")), days, F.lit("이 지났습니다."), end).alias("explanation"), F.lit(None).cast("array<string>").alias("allowed"))
+    return V.verified(answers, cites, evidence).withColumn("problems", F.array_join("problems", ","))
