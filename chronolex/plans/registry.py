@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronolex.plans import catalog, drafting, evidence, graph, impacts, maintenance, mirror, quotes, references, search, serving, streams, text, versions
+from chronolex.plans import catalog, drafting, evidence, graph, impacts, maintenance, mirror, quotes, references, search, serving, streams, text, units, versions
 
 
 def queries() -> dict[str, catalog.Query]:
-    assert all((drafting, evidence, graph, impacts, maintenance, mirror, quotes, references, search, serving, streams, text, versions))
+    assert all((drafting, evidence, graph, impacts, maintenance, mirror, quotes, references, search, serving, streams, text, units, versions))
     return catalog.QUERIES
 
 
