@@ -95,11 +95,12 @@ def unit_documents(provisions: DataFrame, size: int) -> DataFrame:
 
 
 def article_chunks(provisions: DataFrame, size: int) -> DataFrame:
-    """(version, path, text): whole articles with what is below them, or their paragraphs where that is longer than size."""
+    """(version, path, text): whole articles with what is below them, or their paragraphs where that is longer than size; p10 follows p9."""
     own = provisions.filter("unit <> 'chapter'").withColumn("article", F.split_part("path", F.lit("."), F.lit(1)))
     w = Window.partitionBy("version", "article")
+    place = F.transform(F.regexp_extract_all("path", F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("long"))
     d = own.withColumn("all", F.sum(F.char_length("text") + 1).over(w))
-    whole = d.filter(F.col("all") <= size).groupBy("version", F.col("article").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    whole = d.filter(F.col("all") <= size).groupBy("version", F.col("article").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "path", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return whole.unionByName(d.filter(F.col("all") > size).select("version", "path", "text"))
 
 
