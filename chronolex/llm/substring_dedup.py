@@ -11,17 +11,18 @@ have found. A bucket of one is done and takes no part in later rounds. The round
    and fifty, are bucketed.
 2. Anchors in buckets of two or more are refined by the q-gram after them and by that before them:
    every string holds one of the two pairs whole, and goes if a pair that it holds is alone.
-3. The strings still open are refined in blocks of BLOCK neighbouring starts. If the bytes that a
-   block's strings span (its long identifier) recur, all are repeated; if those common to them (its
-   short identifier) recur only together with the same long one, nothing more can match.
-4. Blocks whose short identifier meets several long ones, one of them alone, go down to single strings.
+3. The strings still open are bucketed in blocks of BLOCK neighbouring starts, by the bytes common to them
+   (the block's identifier, made from shorter ones), with the bytes on both sides that they reach into.
+4. A bucket's blocks are refined start by start by those bytes: a start that two of them share is repeated.
 
 An identifier names a bucket by 128 bits made from the pair of identifiers it was refined by, in
 place of its rank, which would take a global sort in each round; two strings that differ get one
 identifier with a chance of 2 ** -128. Each round sends counts of identifiers, combined per task
-before the shuffle, so a string held by a third of all documents is a few rows. What a round has
-learnt comes back to the texts as sets of open identifiers: sent to all tasks while a set has
-SET_ROWS members at most, else joined to the documents that hold them. All of it is a function of the
+before the shuffle, so a string held by a third of all documents is a few rows. Texts are read where they
+lie. What rounds 1 and 2 have learnt comes back to them as sets of open identifiers, whole up to SET_ROWS
+members, else as a filter of FILTER_BITS bits at most, whose errors only leave more strings open. Round 4
+answers the blocks, one row each, and the documents get their runs: sent to all tasks for SENT_DOCS
+documents at most, else joined to the texts, which move this once. All of it is a function of the
 texts alone, so a task that runs again sends the same rows. Texts are looked at a slice at a time,
 laid end to end; no string that reaches over a text's end counts.
 """
@@ -33,14 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import at_most, cut, slices
 
 LENGTH, GRAM, BLOCK = 400, 96, 32
-#: Members of a set that is sent to every task: 48 MB. Larger ones are joined.
+#: Members of a set that is sent to every task whole: 48 MB. Of larger ones a filter is sent, of ten bits a member up to 64 MB.
 SET_ROWS = 3_000_000
+FILTER_BITS, SEGMENT_BITS = 29, 22
+#: Documents whose runs are sent to every task; those of more are joined.
+SENT_DOCS = 300_000
 FLUSH = 1_000_000
 
 _RNG = np.random.default_rng(20)
@@ -140,27 +144,38 @@ class Slice:
         right = np.flatnonzero(last >= at - (LENGTH - 2 * GRAM))
         return (left, self.bucket(at[left] - GRAM, 2 * GRAM)), (right, self.bucket(at[right], 2 * GRAM))
 
-    def blocks(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(anchor, block number, long identifier, has one, short identifier) of the blocks that hold the anchors' starts."""
+    def blocks(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first start, identifier, sides) of the blocks that hold the anchors' starts.
+
+        The start j of a block reaches into the last BLOCK - 1 - j bytes before the common ones and the first j after them.
+        Sides are all these bytes, zero where no start of this block reaches, and the first and last j.
+        """
         low, high = (at - last) // BLOCK, (at - first) // BLOCK
         count = high - low + 1
-        p = np.repeat(at, count)
-        b = np.repeat(low, count) + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
         owner = np.repeat(np.arange(len(at)), count)
-        start = p - (b * BLOCK + BLOCK - 1)
-        span = LENGTH + BLOCK - 1
-        text = self.owner(p)
-        whole = (start >= self.begin[text]) & (start + span <= self.begin[text] + self.sizes[text])
-        long = np.zeros((2, len(p)), np.uint64)  # zero: cut off by the text's end
-        held = self.bucket(start[whole], span)
-        long[:, whole] = _pair(held, held, 2 * b[whole] + 1)
-        common = self.bucket(p - b * BLOCK, LENGTH - BLOCK + 1)
-        return owner, b, long, whole, _pair(common, common, 2 * b + 2)
+        b = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        side = BLOCK - 1
+        common = at[owner] - b * BLOCK
+        start = common - side
+        from_, to = np.maximum(first[owner] - start, 0), np.minimum(last[owner] - start, side)
+        sides = np.zeros((len(owner), 2 * BLOCK), np.uint8)
+        for i in range(side):
+            left, right = i >= from_, i < to
+            sides[left, i] = self.bytes[start[left] + i]
+            sides[right, side + i] = self.bytes[common[right] + LENGTH - side + i]
+        sides[:, -2], sides[:, -1] = from_, to
+        held = self.bucket(common, LENGTH - side)
+        return start, _pair(held, held, 2 * b + 2), sides
 
 
 def _among(values: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Which identifiers are members (sorted)."""
+    """Which identifiers are members (sorted); of a filter (one dimension), which may be."""
     found = np.zeros(values.shape[1], bool)
+    if members.ndim == 1:
+        found[:] = True
+        for bit in _filter_bits(values, len(members) * 8 >> SEGMENT_BITS):
+            found &= (members[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        return found
     end = members.shape[1]
     if not end or not len(found):
         return found
@@ -184,103 +199,122 @@ def _sorted(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return members[:, np.lexsort((members[1], members[0]))]
 
 
+def _filter_bits(ids: np.ndarray, segments: int) -> list[np.ndarray]:
+    """The bits of identifiers in a filter of so many segments, a power of two over one: all in one segment, which the first bits of h1 tell."""
+    low = np.uint64((1 << SEGMENT_BITS) - 1)
+    segment = (ids[0] >> np.uint64(65 - segments.bit_length())) << np.uint64(SEGMENT_BITS)
+    return [(segment | (x & low)).astype(np.int64) for x in (ids[0], ids[1], ids[1] >> np.uint64(32))]
+
+
+def _filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the members; each segment is made by one task."""
+    bits = min(max(SEGMENT_BITS + 1, (10 * members.count()).bit_length()), FILTER_BITS)
+    segments = 1 << bits - SEGMENT_BITS
+    size = 1 << SEGMENT_BITS - 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            ids = np.stack([b.column(c).to_numpy() for c in ("h1", "h2")]).view(np.uint64)
+            for bit in _filter_bits(ids, segments):
+                for k in np.unique(bit >> SEGMENT_BITS).tolist():
+                    own = bit[bit >> SEGMENT_BITS == k] & (1 << SEGMENT_BITS) - 1
+                    np.bitwise_or.at(made.setdefault(k, np.zeros(size, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64()), pa.array([v.tobytes() for v in made.values()], pa.binary())], ["segment", "bits"])
+
+    dealt = members.repartition(F.shiftrightunsigned("h1", 64 - (bits - SEGMENT_BITS)))
+    out = np.zeros(segments * size, np.uint8)
+    for r in dealt.mapInArrow(run, "segment long, bits binary").toLocalIterator():
+        out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 class Sets:
-    """Sets of open identifiers: broadcast, or columns ``name`` of the documents."""
+    """Sets of open identifiers, sent to all tasks."""
 
     def __init__(self, docs: DataFrame):
-        self.docs, self.sent, self.columns = docs, {}, []
+        self.docs, self.sent = docs, {}
 
-    def learn(self, name: str, members: DataFrame, holders: DataFrame) -> None:
-        """members(h1, h2) is written already. holders(k, th, h1, h2) is who holds which identifier, for sets that are too large to send."""
-        spark = self.docs.sparkSession
+    def learn(self, name: str, members: DataFrame) -> None:
+        """members(h1, h2) is written already."""
         if at_most(members, SET_ROWS):
-            found = members.select("h1", "h2").toArrow()
-            self.sent[name] = spark.sparkContext.broadcast(_sorted(*(found[c].to_numpy() for c in ("h1", "h2"))))
-            return
-        if not self.columns:  # the texts are dealt out once, all sets then come to them
-            self.docs = cut(self.docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS))
-        own = cut(holders.join(members, ["h1", "h2"]).groupBy(*KEYS).agg(F.collect_set(F.struct("h1", "h2")).alias(name)))
-        self.docs = self.docs.join(own, list(KEYS), "left")
-        self.columns.append(name)
-
-    def forget(self, name: str) -> None:
-        """A set that a later one makes needless."""
-        if name in self.columns:
-            self.columns.remove(name)
-            self.docs = self.docs.drop(name)
+            found = members.toArrow()
+            sent = _sorted(*(found[c].to_numpy() for c in ("h1", "h2")))
         else:
-            self.sent.pop(name)
-
-    def reader(self):
-        """f(batch) -> {name: sorted members}, for use in tasks."""
-        sent, columns = dict(self.sent), list(self.columns)
+            sent = _filter(members)
+        self.sent[name] = self.docs.sparkSession.sparkContext.broadcast(sent)
 
-        def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-            found = {k: v.value for k, v in sent.items()}
-            for c in columns:
-                own = batch.column(c).flatten()
-                found[c] = _sorted(*(own.field(i).to_numpy() for i in (0, 1)))
-            return found
 
-        return read
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[pa.RecordBatch, list[bytes], Slice, dict]]:
-    powers = Powers()
+def _slices(batches: Iterator[pa.RecordBatch], sent: dict) -> Iterator[tuple[pa.RecordBatch, Slice, dict]]:
+    powers, known = Powers(), {k: v.value for k, v in sent.items()}
     for b in slices(batches, "text", SLICE):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        yield b, texts, Slice(texts, powers), read(b)
+        yield b, Slice(_texts(b), powers), known
+
 
+def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of distinct columns, number of each)."""
+    order = np.lexsort(ids[::-1])
+    ids = ids[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]))
+    return order[first], np.diff(np.append(first, ids.shape[1]))
 
-def _emit(sets: Sets, step, keyed: bool) -> DataFrame:
-    """Rows (h1, h2, and g1, g2 of a second identifier, n) that step(slice, sets) -> (identifiers, positions) makes, counted per task; with (k, th) per document if keyed."""
-    read = sets.reader()
-    names = ["h1", "h2", "g1", "g2"][: 2 * step.identifiers]
 
-    def batch(keys, ids, n):
-        return pa.RecordBatch.from_arrays([*keys, *(pa.array(x.view(np.int64)) for x in ids), pa.array(n)], [*(KEYS if keyed else ()), *names, "n"])
+def _emit(sets: Sets, step) -> DataFrame:
+    """Rows (h1, h2, n), and the sides of blocks, of what step(slice, sets) -> (identifiers, sides or none) makes, counted per task."""
+    sent = dict(sets.sent)
 
-    def counted(found: list):
-        ids = np.concatenate(found, axis=1)
-        ids = ids[:, np.lexsort(ids[::-1])]
-        first = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]))
-        return batch([], np.ascontiguousarray(ids[:, first]), np.diff(np.append(first, ids.shape[1])))
+    def counted(found: list) -> pa.RecordBatch:
+        ids = np.concatenate([f[0] for f in found], axis=1)
+        sides = [f[1] for f in found if f[1] is not None]
+        keys = _named(ids, joined := np.concatenate(sides)) if sides else ids
+        first, n = _counts(keys)
+        columns = [*(pa.array(x[first].view(np.int64)) for x in ids), pa.array(n)]
+        return pa.RecordBatch.from_arrays([*columns, *([_binary(joined[first])] if sides else [])], ["h1", "h2", "n", *(["sides"] if sides else [])])
 
     def run(batches):
         found, size = [], 0
-        for b, _, texts, known in _slices(batches, read):
-            ids, at = step(texts, known)
-            if not ids.shape[1]:
-                continue
-            if keyed:
-                rows = pa.array(texts.owner(at))
-                yield batch([b.column(c).take(rows) for c in KEYS], np.ascontiguousarray(ids), np.ones(ids.shape[1], np.int64))
-                continue
-            found.append(ids)
-            size += ids.shape[1]
+        for _, texts, known in _slices(batches, sent):
+            made = step(texts, known)
+            if made[0].shape[1]:
+                found.append(made)
+                size += made[0].shape[1]
             if size >= FLUSH:
                 yield counted(found)
                 found, size = [], 0
         if found:
             yield counted(found)
 
-    schema = ("k long, th long, " if keyed else "") + ", ".join(f"{c} long" for c in [*names, "n"])
-    return sets.docs.mapInArrow(run, schema)
+    return sets.docs.mapInArrow(run, "h1 long, h2 long, n long" + (", sides binary" if step is _blocks else ""))
+
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
-def _anchors(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
+
+def _named(ids: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Identifiers of blocks with their sides."""
+    for word in np.ascontiguousarray(sides).view(np.uint64).T:
+        ids = _pair(ids, np.stack([word, ~word]))
+    return ids
+
+
+def _anchors(texts: Slice, known: dict) -> tuple[np.ndarray, None]:
     """Round 1: the q-grams of all anchors."""
-    at = texts.anchors()[0]
-    return texts.bucket(at, GRAM), at
+    return texts.bucket(texts.anchors()[0], GRAM), None
 
 
-def _neighbours(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(texts: Slice, known: dict) -> tuple[np.ndarray, None]:
     """Round 2: pairs of neighbouring q-grams at the anchors whose own bucket is open."""
     at, first, last = texts.anchors()
     open_ = _among(texts.bucket(at, GRAM), known["anchors"])
     at, first, last = at[open_], first[open_], last[open_]
-    (a, left), (b, right) = texts.before_and_after(at, first, last)
-    return np.concatenate([left, right], axis=1), np.concatenate([at[a], at[b]])
+    (_, left), (_, right) = texts.before_and_after(at, first, last)
+    return np.concatenate([left, right], axis=1), None
 
 
 def _open_anchors(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,72 +331,105 @@ def _open_anchors(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _blocks(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Round 3: (long, short) identifiers of the open blocks; the long one is zero where the text's end cuts it off."""
-    at, first, last = _open_anchors(texts, known)
-    owner, _, long, _, short = texts.blocks(at, first, last)
-    return np.concatenate([long, short]), at[owner]
-
-
-def _open_strings(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(starts known to be repeated, starts to be looked at singly)."""
-    at, first, last = _open_anchors(texts, known)
-    owner, b, long, whole, short = texts.blocks(at, first, last)
-    start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
-    stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
-    sure = whole & _among(long, known["long"])
-    single = ~sure & _among(short, known["short"])
-    return _ranges(start[sure], stop[sure]), _ranges(start[single], stop[single])
-
-
-def _strings(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Round 4: single strings of the blocks that stayed open, with those of their likes known to be repeated."""
-    at, first, last = _open_anchors(texts, known)
-    owner, b, _, _, short = texts.blocks(at, first, last)
-    start = np.maximum(at[owner] - (b * BLOCK + BLOCK - 1), first[owner])
-    stop = np.minimum(at[owner] - b * BLOCK, last[owner]) + 1
-    open_ = _among(short, known["short"])
-    found = _ranges(start[open_], stop[open_])
-    return texts.bucket(found, LENGTH), found
-
-
-_anchors.identifiers = _neighbours.identifiers = _strings.identifiers = 1
-_blocks.identifiers = 2
-
-
-def removed_spans(texts: Slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that repeated strings cover."""
-    sure, single = _open_strings(texts, known)
-    found = np.concatenate([sure, single[_among(texts.bucket(single, LENGTH), known["strings"])]]) if len(single) else sure
-    if not len(found):
-        return found, found
-    found = np.unique(found)
-    gap = np.flatnonzero(found[1:] > found[:-1] + LENGTH)
-    return found[np.concatenate([[0], gap + 1])], found[np.append(gap, len(found) - 1)] + LENGTH
-
-
-def repeated(docs: DataFrame) -> Sets:
-    """The sets that tell, for any of these documents, which of its strings of LENGTH bytes are repeated."""
-    keys = {"k": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "th": F.xxhash64("text")}
-    sets = Sets(docs.select("doc_id", "text").withColumns(keys))
-
-    def learn(name: str, step) -> None:
-        members = cut(_emit(sets, step, False).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"))
-        sets.learn(name, members, _emit(sets, step, True))
-
-    learn("anchors", _anchors)
-    learn("neighbours", _neighbours)
-    sets.forget("anchors")
-    buckets = cut(_emit(sets, _blocks, False).groupBy("h1", "h2", "g1", "g2").agg(F.sum("n").alias("n")))
-    holders = _emit(sets, _blocks, True)
-    cut_off: Column = (F.col("h1") == 0) & (F.col("h2") == 0)
-    long = cut(buckets.filter(~cut_off & (F.col("n") > 1)).select("h1", "h2"))
-    # A block that the text's end cuts off stands alone beside its likes.
-    by_short = buckets.groupBy("g1", "g2").agg(F.sum("n").alias("all"), F.min(F.when(cut_off, F.lit(1)).otherwise(F.col("n"))).alias("least"))
-    short = cut(by_short.filter("all > 1 AND least = 1").select(F.col("g1").alias("h1"), F.col("g2").alias("h2")))
-    sets.learn("long", long, holders.select("k", "th", "h1", "h2"))
-    sets.learn("short", short, holders.select("k", "th", F.col("g1").alias("h1"), F.col("g2").alias("h2")))
-    learn("strings", _strings)
-    return sets
+    """Round 3: identifiers and sides of the open blocks."""
+    return texts.blocks(*_open_anchors(texts, known))[1:]
+
+
+def _repeated_starts(group: np.ndarray, sides: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Round 4: per block (group: its bucket's number, n: how often it is there) the starts that another one of its bucket shares, as bits."""
+    side = BLOCK - 1
+    from_, to = sides[:, -2].astype(np.int64), sides[:, -1].astype(np.int64)
+    left, right = np.zeros((BLOCK, len(n)), np.uint64), np.zeros((BLOCK, len(n)), np.uint64)
+    for j in range(side):
+        left[side - 1 - j] = _mix(left[side - j] + sides[:, side - 1 - j].astype(np.uint64) + np.uint64(1))
+        right[j + 1] = _mix(right[j] + sides[:, side + j].astype(np.uint64) + np.uint64(1))
+    mask = np.zeros(len(n), np.int64)
+    for j in range(BLOCK):
+        rows = np.flatnonzero((from_ <= j) & (j <= to))
+        if not len(rows):
+            continue
+        keys = np.stack([group[rows].astype(np.uint64), left[j, rows], right[j, rows]])
+        rows = rows[order := np.lexsort(keys[::-1])]
+        keys = keys[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        total = np.repeat(np.add.reduceat(n[rows], first), np.diff(np.append(first, len(rows))))
+        mask[rows[total > 1]] |= 1 << j
+    return mask
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, mask) of the blocks, sorted by bucket, that have a repeated start; a bucket may reach over batches."""
+
+    def answer(rows: list) -> pa.RecordBatch:
+        ids, sides, n = np.concatenate([r[0] for r in rows], axis=1), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+        new = np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)])
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, n)[group]
+        some = total > 1
+        ids, sides, n, group = ids[:, some], sides[some], n[some], group[some]
+        mask, names = _repeated_starts(group, sides, n), _named(ids, sides)
+        some = np.flatnonzero(mask)
+        first = some[_counts(names[:, some])[0]] if len(some) else some
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in names), pa.array(mask[first])], ["h1", "h2", "mask"])
+
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy() for c in ("h1", "h2")]).view(np.uint64)
+        sides = np.frombuffer(b"".join(b.column("sides").to_pylist()), np.uint8).reshape(-1, 2 * BLOCK)
+        n = b.column("n").to_numpy()
+        cut_at = int(np.flatnonzero((ids != ids[:, -1:]).any(0)).max(initial=-1)) + 1  # the last bucket starts here
+        if held and (cut_at or (held[-1][0][:, -1] != ids[:, -1]).any()):
+            yield answer([*held, (ids[:, :cut_at], sides[:cut_at], n[:cut_at])])
+            held = []
+        elif cut_at:
+            yield answer([(ids[:, :cut_at], sides[:cut_at], n[:cut_at])])
+        held.append((ids[:, cut_at:], sides[cut_at:], n[cut_at:]))
+    if held:
+        yield answer(held)
+
+
+def _places(sets: Sets) -> DataFrame:
+    """(k, th, h1, h2, start): the open blocks of each document, with the place of their first start."""
+    sent = dict(sets.sent)
+
+    def run(batches):
+        for b, texts, known in _slices(batches, sent):
+            start, ids, sides = texts.blocks(*_open_anchors(texts, known))
+            if len(start):
+                owner = texts.owner(start + sides[:, -2])
+                columns = [*(b.column(c).take(pa.array(owner)) for c in KEYS), *(pa.array(x.view(np.int64)) for x in _named(ids, sides)), pa.array(start - texts.begin[owner])]
+                yield pa.RecordBatch.from_arrays(columns, [*KEYS, "h1", "h2", "start"])
+
+    return sets.docs.mapInArrow(run, "k long, th long, h1 long, h2 long, start long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts and ends of the maximal runs of bytes that each document's repeated strings cover."""
+    for b in batches:
+        starts, ends = [], []
+        for blocks in b.column("blocks"):
+            own = blocks.values
+            start, mask = (own.field(c).to_numpy() for c in ("start", "mask"))
+            row, j = np.nonzero(mask[:, None] >> np.arange(BLOCK) & 1)
+            found = np.unique(start[row] + j)
+            gap = np.flatnonzero(found[1:] > found[:-1] + LENGTH)
+            starts.append(found[np.concatenate([[0], gap + 1])])
+            ends.append(found[np.append(gap, len(found) - 1)] + LENGTH)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(starts, kind), pa.array(ends, kind)], ["k", "th", "starts", "ends"])
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The runs (k, th, starts, ends) of the documents (doc_id, text, k, th) that have repeated strings of LENGTH bytes."""
+    sets = Sets(docs)
+    for name, step in (("anchors", _anchors), ("neighbours", _neighbours)):
+        sets.learn(name, cut(_emit(sets, step).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")))
+    buckets = _emit(sets, _blocks).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+    answers = cut(buckets.mapInArrow(_answers, "h1 long, h2 long, mask long"))
+    found = _places(sets).join(answers, ["h1", "h2"]).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "mask")).alias("blocks"))
+    return cut(found.mapInArrow(_runs, "k long, th long, starts array<long>, ends array<long>"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -375,33 +442,32 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    sets = repeated(docs)
-    read = sets.reader()
+    keys = {"k": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "th": F.xxhash64("text")}
+    keyed = docs.select("doc_id", "text").withColumns(keys)
+    runs = repeated(keyed)
+    if at_most(runs, SENT_DOCS):
+        runs = F.broadcast(runs)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if with_bytes else "kept_sha256"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_bytes else pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(b, rows):
-            columns = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_bytes else pa.string())
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
-
-        for b, texts, laid, known in _slices(batches, read):
-            starts, ends = removed_spans(laid, known)
-            spans = np.searchsorted(laid.owner(starts), np.arange(len(texts) + 1))
-            starts, ends, rows = starts.tolist(), ends.tolist(), []
-            for i, data in enumerate(texts):
-                left, count = data, int(spans[i + 1] - spans[i])
+        for b in slices(batches, "text", SLICE):
+            rows = []
+            for data, starts, ends in zip(_texts(b), *(b.column(c).to_pylist() for c in ("starts", "ends")), strict=True):
+                left, count = data, len(starts or ())
                 if count:
-                    view, begin, at, kept = memoryview(data), int(laid.begin[i]), 0, []
-                    for k in range(spans[i], spans[i + 1]):
-                        kept.append(view[at : starts[k] - begin])
-                        at = ends[k] - begin
+                    view, at, kept = memoryview(data), 0, []
+                    for start, end in zip(starts, ends, strict=True):
+                        kept.append(view[at:start])
+                        at = end
                     left = b"".join([*kept, view[at:]])
                 rows.append((len(data), len(data) - len(left), count, left if with_bytes else hashlib.sha256(left).hexdigest()))
-            yield answer(b, rows)
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if with_bytes else "kept_sha256"]
     kind = dict(docs.dtypes)["doc_id"]
-    return sets.docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'binary' if with_bytes else 'string'}")
+    met = keyed.join(runs, list(KEYS), "left").select("doc_id", "text", "starts", "ends")
+    return met.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'binary' if with_bytes else 'string'}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
