@@ -17,3 +17,9 @@ def test_severity_of_all_changed_parts(spark):
     got = registry.queries()["impact_severity"](spark, SF)
     assert got.count() == count(f"SELECT count(*) FROM ({pairs})")
     assert got.select("cause").distinct().count() == count(f"SELECT count(DISTINCT p_partkey) FROM ({pairs})")
+
+
+def test_second_hop_of_all_changed_parts(spark):
+    strong = f"SELECT DISTINCT p_partkey, c_nationkey FROM {CHANGED} JOIN '{SF}/lineitem.parquet' ON l_partkey = p_partkey AND l_linenumber BETWEEN 2 AND 5 JOIN '{SF}/orders.parquet' ON o_orderkey = l_orderkey JOIN '{SF}/customer.parquet' ON c_custkey = o_custkey"
+    got = registry.queries()["impact_second_hop"](spark, SF).agg({"n": "sum"}).first()[0]
+    assert got == count(f"SELECT count(*) FROM ({strong})")
