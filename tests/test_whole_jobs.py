@@ -2,6 +2,7 @@
 
 import duckdb
 
+from chronolex.operators import impact
 from chronolex.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,19 @@ def test_second_hop_of_all_changed_parts(spark):
     strong = f"SELECT DISTINCT p_partkey, c_nationkey FROM {CHANGED} JOIN '{SF}/lineitem.parquet' ON l_partkey = p_partkey AND l_linenumber BETWEEN 2 AND 5 JOIN '{SF}/orders.parquet' ON o_orderkey = l_orderkey JOIN '{SF}/customer.parquet' ON c_custkey = o_custkey"
     got = registry.queries()["impact_second_hop"](spark, SF).agg({"n": "sum"}).first()[0]
     assert got == count(f"SELECT count(*) FROM ({strong})")
+
+
+def test_late_entries_of_the_ledger_count(spark):
+    """A user in the ledger from event 500 on: of their errors only those before it are unseen."""
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    since = {}
+    for r in sorted(events):
+        if r.event_type == "signup":
+            since.setdefault(r.user_id, r.event_id)
+    want = sorted(r.event_id for r in events if r.event_type == "error" and since.get(r.user_id, r.event_id) >= r.event_id)
+    assert sorted(r.event_id for r in registry.queries()["unseen_notes"](spark, SF).collect()) == want
+    schema = "event_id long, user_id long"
+    notes = spark.createDataFrame([(1, 1), (600, 1), (600, 2), (600, None), (None, 1)], schema)
+    ledger = spark.createDataFrame([(500, 1), (900, 1), (600, 2), (None, 2), (1, None)], schema)
+    got = impact.unseen(notes, ledger, ["user_id"], "event_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 1), (600, 2), (600, None), (None, 1)]))
