@@ -44,8 +44,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id (of rows with one id, one).
 
-    The SimHash operator under the stage's own rule: its covering tables and, for pairs beyond their radius,
-    MinHash bands bring pairs together; links are checked on whole sets of shingles, of very long texts as well. Null
+    SimHash under the stage's own rule: covering tables over parts of wide fingerprints bring pairs together, their
+    distance is compared, and links are checked on whole sets of shingles, of very long texts as well. Null
     and blank texts are copies of each other. Of rows without an id, one of each set of shingles stays that no row
     with an id has. An empty table gives no rows.
     """

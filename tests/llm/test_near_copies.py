@@ -109,3 +109,26 @@ def test_awkward_rows(spark):
     assert by[900] == by[901] == by[904] == 900 and by[903] == 903
     assert {r.component_id for r in got if r.doc_id is None} == {900, None}
     assert N.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_no_link_beyond_the_radius_of_the_fingerprints(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = documents(spark, [r for k in range(6) for r in families(rng, 10 * k, 3, 300, 1)])
+    assert {r.component_id for r in N.near_duplicates(docs).collect()} == {10 * k for k in range(6)}
+    monkeypatch.setattr(N, "RADIUS", -1, raising=False)
+    assert all(r.component_id == r.doc_id for r in N.near_duplicates(docs).collect())
+
+
+def test_pairs_at_the_similarity_meet_by_fingerprints(spark):
+    """Sets of all sizes at similarity 0.8 or little more, the hardest to find."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        n = (8, 11, 12, 13, 49, 200)[k % 6]
+        cut = (1, 1, 2, 1, 9, 39)[k % 6]  # last words that the other one lacks
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n + cut)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:n]))]
+    assert all(similar(grams(a[1]), grams(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    d = N.sketched(documents(spark, rows)).withColumnRenamed("doc_id", "rep")
+    assert {tuple(sorted(r)) for r in N.near_fingerprints(d, N.RADIUS).collect()} == {(2 * k, 2 * k + 1) for k in range(400)}
+    check(spark, rows[:120])
