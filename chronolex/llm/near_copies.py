@@ -51,6 +51,8 @@ CHUNK = 128
 LINKS_HELD = 1_000_000
 #: Rows that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Links up to this number (2 MB) are connected in one task, more by rounds of joins.
+FEW_LINKS = BROADCAST_ROWS // 2
 
 
 def voters() -> np.ndarray:
@@ -169,6 +171,43 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Stars in place of all links (u, v) of the batches; besides those still to be merged, memory holds one link of each node."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    n, room = 0, LINKS_HELD
+    for b in batches:
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+        n += b.num_rows
+        if n >= room:
+            held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+            n = len(held[0][0])
+            room = max(LINKS_HELD, 2 * n)
+    return stars(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """``components`` of links that many tasks found, each with a root of its own for the same nodes.
+
+    All links of a node as the larger end meet in a task first, which sends stars in their place: about a link for each node
+    goes on, not one for each node and bucket. Up to FEW_LINKS of these are then connected in one task, more by ``components``.
+    """
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = merged(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = merged(batches)
+        roots = np.unique(u)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, roots])), pa.array(np.concatenate([u, roots]))], ["node", "root"])
+
+    ordered = links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    edges = cut(ordered.repartition("v").mapInArrow(reduced, "u long, v long"))
+    if at_most(edges, FEW_LINKS):
+        return cut(edges.coalesce(1).mapInArrow(rooted, "node long, root long"))
+    return components(edges)
+
+
 def near_fingerprints(classes: DataFrame, radius: int, compared: int = WORDS_COMPARED) -> DataFrame:
     """(u, v) over rep: pairs that share a bucket and are within the radius, or such as connect the same.
 
@@ -279,12 +318,13 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     Sets are made again for the documents with near fingerprints only, so those of all others are never stored.
     """
     node, key = F.col("node").alias("rep"), F.col("root").alias("key")
-    near = components(near_fingerprints(classes, RADIUS)).select(node, key)
+    near = connected(near_fingerprints(classes, RADIUS)).select(node, key)
     crowded = cut(near.groupBy("key").count().filter(F.col("count") > CHUNK).select("key"))
     if not crowded.isEmpty():
-        inside = cut(near.join(few(crowded), "key").select("rep"))
-        closer = components(near_fingerprints(cut(classes.join(few(inside), "rep", "left_semi")), WHOLE_RADIUS, ALL_WORDS)).select(node, key)
-        near = near.join(few(crowded), "key", "left_anti").select("rep", "key").unionByName(closer)
+        crowd = few(crowded)
+        inside = cut(near.join(crowd, "key").select("rep"))
+        closer = connected(near_fingerprints(cut(classes.join(few(inside), "rep", "left_semi")), WHOLE_RADIUS, ALL_WORDS)).select(node, key)
+        near = near.join(crowd, "key", "left_anti").select("rep", "key").unionByName(closer)
     rows = cut(classes.select("fp", "rep", F.xxhash64("fp").alias("h")).join(few(cut(near)), "rep"))
     groups = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lead")))
     members = cut(rows.join(few(groups), "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")))
@@ -298,7 +338,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     large = members.filter(F.col("n") > CHUNK)
     if large.isEmpty():
         return found
-    rooted = large.join(components(found).select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("own", F.coalesce("root", "rep")).drop("root")
+    rooted = large.join(connected(found).select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("own", F.coalesce("root", "rep")).drop("root")
     main = rooted.filter("h = lead").select("key", F.col("own").alias("main"))
     rooted = cut(rooted.join(few(cut(main)), ["key"]))
     others = rooted.filter("own <> main")
@@ -324,6 +364,6 @@ def near_duplicates(docs: DataFrame, keep: str = "doc_id long") -> DataFrame:
     names = [c.split(" ")[0] for c in keep.split(", ")]
     d = cut(sketched(docs, keep))
     classes = cut(d.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("sim", "more", "parts"))))
-    found = components(links(classes, docs)).select(F.col("node").alias("rep"), "root")
+    found = connected(links(classes, docs)).select(F.col("node").alias("rep"), "root")
     shared = classes.select("fp", "rep").join(found, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return d.select(*names, "fp").join(shared, "fp", "left")

@@ -132,3 +132,35 @@ def test_pairs_at_the_similarity_meet_by_fingerprints(spark):
     d = N.sketched(documents(spark, rows)).withColumnRenamed("doc_id", "rep")
     assert {tuple(sorted(r)) for r in N.near_fingerprints(d, N.RADIUS).collect()} == {(2 * k, 2 * k + 1) for k in range(400)}
     check(spark, rows[:120])
+
+
+def test_joins_get_no_link_for_each_bucket_of_a_node(spark, monkeypatch):
+    """Copies of one text meet in most of the tables, so many tasks find the same group in other stars."""
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    seen, whole = [], N.components
+    monkeypatch.setattr(N, "components", lambda links: seen.append(links.count()) or whole(links))
+    monkeypatch.setattr(N, "FEW_LINKS", 0, raising=False)  # the joins, as for many links
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = families(random.Random(10), 0, 120, 120, 2) + [(1000, "one of its own")]
+        assert {r.component_id for r in N.near_duplicates(documents(spark, rows)).collect()} == {0, 1000}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(seen) > 1
+    assert max(seen) < 600
+
+
+def test_connected_gives_the_components(spark, monkeypatch):
+    rng = random.Random(11)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    links = [(nodes[a], nodes[b]) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(250))] + [(nodes[0], nodes[0])]
+    frame = spark.createDataFrame(links, "u long, v long").repartition(7)
+    monkeypatch.setattr(N, "LINKS_HELD", 5)
+    want = sorted((r.node, r.root) for r in N.components(frame).collect())
+    for few in (N.FEW_LINKS, 0):
+        monkeypatch.setattr(N, "FEW_LINKS", few)
+        assert sorted((r.node, r.root) for r in N.connected(frame).collect()) == want
+    assert N.connected(frame.limit(0)).count() == 0
