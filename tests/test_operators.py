@@ -210,3 +210,21 @@ def test_best_row_of_every_other_group(spark):
         assert by[1, "b"] == (3, 0.0) and by[1, "c"] == (4, 0.707107) and by[5, "a"] == (1, 0.707107) and by[8, "a"] == (1, -1.0)
     assert retrieval.nearest_of_groups(v, asks.limit(0), "ask", "asked", "id", "vector", "label").count() == 0
     assert retrieval.nearest_of_groups(v.limit(0), asks, "ask", "asked", "id", "vector", "label").count() == 0
+
+
+def test_breadcrumbs_need_no_join(spark):
+    """Paths that sort between a provision and what lies in it, missing levels, several documents, a path without a name."""
+    rows = [(1, "a1.p1", "x"), (1, "a1", "h"), (1, "a1-2", None), (1, "a1-2.p1", "q"), (1, "a1.p1.i3", None), (1, "a2.p1.i1", None), (1, "supp1/a1.p1.i1.s1", None), (1, "supp1", None), (1, "supp1/a1", "s"), (2, None, "z"), (2, "a1.p2", "k"), (2, "a10.p2", None), (2, "a1", "one")]
+    d = S.breadcrumbs(spark.createDataFrame(rows, "doc_id long, path string, heading string"))
+    got = {(r["doc_id"], r["path"]): r["trail"] for r in d.collect()}
+    assert got == {
+        (1, "a1"): "h", (1, "a1.p1"): "h > x", (1, "a1.p1.i3"): "h > x > a1.p1.i3", (1, "a1-2"): "a1-2", (1, "a1-2.p1"): "a1-2 > q", (1, "a2.p1.i1"): "a2.p1.i1",
+        (1, "supp1"): "supp1", (1, "supp1/a1"): "supp1 > s", (1, "supp1/a1.p1.i1.s1"): "supp1 > s > supp1/a1.p1.i1.s1", (2, "a1"): "one", (2, "a1.p2"): "one > k", (2, "a10.p2"): "a10.p2",
+    }
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_paragraph_that_opens_again_goes_on_with_its_items(spark):
+    d = spark.createDataFrame([(1, k, t) for k, t in enumerate(["제1조(a) x", "① p", "1. i", "② q", "가. of p2", "① again", "가. of i1", "제2조(b)", "① r", "가. none"])], "doc_id long, line_no int, text string")
+    got = {r["path"]: r["text"] for r in S.provisions(d).collect()}
+    assert got == {"a1": "x", "a1.p1": "p\nagain", "a1.p1.i1": "i", "a1.p2": "q\n가. of p2", "a1.p1.i1.s1": "of i1", "a2": "", "a2.p1": "r\n가. none"}
