@@ -1,6 +1,7 @@
 """What a search indexes: a document per provision with its numbers, labels, context, and the text of its article.
 
-Ancestors and what lies below are met by equality on the steps of a path, so a long article costs rows times depth, not their square.
+The provisions of an article are gathered in one row and find what lies above and below there, and versions are dealt once, so no provision is
+shuffled for a join. An article's cost is the square of its provisions in comparisons of paths, not in rows.
 """
 
 from __future__ import annotations
@@ -66,26 +67,27 @@ def search_units(provisions: DataFrame, current: Column, size: int = 1200) -> Da
     """
     p = _named(provisions)
     steps = F.split("path", r"\.")
-    p = p.withColumn("article_path", steps[0]).withColumn("_depth", F.size(steps))
-    up = lambda most: F.transform(F.sequence(F.lit(1), most), lambda k: F.array_join(F.slice(steps, 1, k), "."))
-    units = p.filter(~F.col("unit").isin(*CONTEXT))
-
-    # what lies below articles and paragraphs, in the order of the document
-    below = units.filter("_depth > 1").select("version", F.explode(up(F.least(F.col("_depth") - 1, F.lit(2)))).alias("path"), F.struct("ord", "line").alias("_l"))
-    below = below.groupBy("version", "path").agg(F.transform(F.sort_array(F.collect_list("_l")), lambda x: x["line"]).alias("_below"))
-
-    # what lies above in the article
-    above = units.select("version", F.col("path").alias("_at"), "formal", "head", "line", "text", "unit", "_depth")
-    asks = units.filter("_depth > 1").select("version", "path", F.explode(up(F.col("_depth") - 1)).alias("_at"))
-    chain = asks.join(above, ["version", "_at"]).groupBy("version", "path").agg(F.sort_array(F.collect_list(F.struct("_depth", "formal", "head", "line", "text", "unit"))).alias("_above"))
+    p = p.withColumn("article_path", steps[0]).withColumn("_depth", F.size(steps)).withColumn("_current", current)
+    own = F.struct("_depth", "ord", "path", "unit", "formal", "head", "line", "text", "title", "_current")
+    g = p.groupBy("version", "article_path").agg(
+        F.collect_list(F.when(~F.col("unit").isin(*CONTEXT), own)).alias("_all"), F.first(F.when(F.col("_depth") == 1, F.struct("parent")), True).alias("_top")
+    )
 
     # what an article lies in: two levels of chapters, sections or supplements
-    outer = p.filter(F.col("unit").isin(*CONTEXT, "supplement")).select("version", F.col("path").alias("_p1"), F.when(F.col("unit").isin(*CONTEXT), F.concat_ws(" ", "label", F.nullif("heading", F.lit("")))).otherwise(F.col("formal")).alias("_c1"), F.when(F.col("unit") == "supplement", F.col("formal")).alias("_s1"), F.col("parent").alias("_p2"))
-    tops = p.filter("_depth = 1").select("version", "article_path", F.col("parent").alias("_p1")).join(outer, ["version", "_p1"])
-    tops = tops.join(outer.select("version", F.col("_p1").alias("_p2"), F.col("_c1").alias("_c2")), ["version", "_p2"], "left")
-    around = tops.select("version", "article_path", F.array_compact(F.array("_c2", "_c1")).alias("_outer"), F.col("_s1").alias("_supplement"))
-
-    d = units.join(below, ["version", "path"], "left").join(chain, ["version", "path"], "left").join(around, ["version", "article_path"], "left")
+    name = F.when(F.col("unit").isin(*CONTEXT), F.concat_ws(" ", "label", F.nullif("heading", F.lit("")))).otherwise(F.col("formal"))
+    outer = F.struct("path", name.alias("name"), F.when(F.col("unit") == "supplement", F.col("formal")).alias("supplement"), "parent")
+    outers = p.filter(F.col("unit").isin(*CONTEXT, "supplement")).groupBy("version").agg(F.collect_list(outer).alias("_outers"))
+    at = lambda path: F.get(F.filter("_outers", lambda x: x["path"] == path), F.lit(0))
+    g = g.join(outers.hint("shuffle_hash"), "version", "left").withColumn("_in", at(F.col("_top.parent")))
+    around = F.array_compact(F.array(at(F.col("_in.parent"))["name"], F.col("_in.name")))
+
+    # what lies above in the article, and below articles and paragraphs, in the order of the document
+    inside = lambda x, y: F.startswith(x["path"], F.concat(y["path"], F.lit(".")))
+    above = lambda x: F.sort_array(F.filter("_all", lambda y: (y["_depth"] < x["_depth"]) & inside(x, y)))
+    below = lambda x: F.when(x["_depth"] <= 2, F.transform(F.sort_array(F.transform(F.filter("_all", lambda y: (y["_depth"] > x["_depth"]) & inside(y, x)), lambda y: F.struct(y["ord"].alias("ord"), y["line"].alias("line")))), lambda y: y["line"]))
+    each = F.transform("_all", lambda x: F.struct(x.alias("_x"), above(x).alias("_above"), below(x).alias("_below")))
+    d = g.select("version", "article_path", around.alias("_outer"), F.col("_in.supplement").alias("_supplement"), F.inline(each))
+    d = d.select("version", "article_path", "_outer", "_supplement", "_x.*", F.when(F.size("_above") > 0, F.col("_above")).alias("_above"), "_below")
     none = F.array().cast("array<string>")
     lines, outside = F.coalesce("_below", none), F.coalesce("_outer", none)
     is_top = F.col("_above").isNull()
@@ -100,7 +102,7 @@ def search_units(provisions: DataFrame, current: Column, size: int = 1200) -> Da
     d = d.withColumn("context", F.when(is_top, "").otherwise(F.array_join(F.concat(F.array(top_head), F.transform(upper, lambda x: x["line"])), " ")))
     filled = lambda a: F.filter(a, lambda x: x != "")
     whole = F.when(is_top, F.array_join(F.concat(F.array(top_head), filled(F.concat(F.array("text"), lines))), "\n"))
-    embeds = current & F.col("unit").isin(*EMBEDDED) & ~F.col("path").startswith("form")
+    embeds = F.col("_current") & F.col("unit").isin(*EMBEDDED) & ~F.col("path").startswith("form")
     part = F.array_join(F.concat(F.array(top_head), filled(F.concat(F.array("line"), lines))), "\n")
     d = d.withColumn("article_text", whole).withColumn("_embed", F.when(embeds, F.coalesce(whole, part))).withColumn("_head", top_head)
 

@@ -30,7 +30,7 @@ def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is indexed of each order: articles, a paragraph and an item in each, a supplement with an article of its own."""
     s = lambda c: F.col(c).cast("string")
     key = [F.col("l_orderkey").alias("version"), F.col("l_linenumber").cast("int").alias("n")]
-    line = table(spark, sf_dir, "lineitem").groupBy(*key).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("k"), (F.min("l_suppkey") % 3 + 1).alias("i"))
+    line = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(*key).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("k"), (F.min("l_suppkey") % 3 + 1).alias("i"))
     none, art = F.lit(None).cast("string"), F.concat(F.lit("a"), s("n"))
     para = F.concat(art, F.lit(".p1"))
     row = lambda ord_, path, parent, unit, label, heading, text: F.struct(ord_.cast("int").alias("ord"), path.alias("path"), parent.alias("parent"), F.lit(unit).alias("unit"), label.alias("label"), heading.alias("heading"), text.alias("text"))
@@ -45,6 +45,8 @@ def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(F.lit(1000), supp, none, "supplement", F.lit("부칙"), none, F.lit("")),
         row(F.lit(1001), F.concat(supp, F.lit("/a1")), supp, "supp_article", F.lit("제1조"), F.lit("시행일"), F.lit("공포한 날부터 시행한다.")),
     )
-    rows = line.select("version", F.inline(of_line)).unionByName(line.select("version").distinct().select("version", F.inline(of_order)))
+    # versions are dealt once: an order's rows are made from its lines
+    whole = line.select("version", of_line.alias("_of")).groupBy("version").agg(F.flatten(F.collect_list("_of")).alias("_of"))
+    rows = whole.select("version", F.inline(F.concat(of_order, "_of")))
     titled = rows.withColumn("title", F.concat(F.lit("Work "), s("version")))
     return U.search_units(titled, F.col("version") % 3 != 0, SIZE)

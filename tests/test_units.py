@@ -59,3 +59,18 @@ def test_chunks_follow_the_numbers(spark):
     rows = [("v", f"a1.p{k}", "paragraph", f"t{k}") for k in (10, 9, 1)] + [("v", "a1", "article", "t0")]
     d = spark.createDataFrame(rows, "version string, path string, unit string, text string")
     assert [tuple(r) for r in D.article_chunks(d, 100).collect()] == [("v", "a1", "t0\nt1\nt9\nt10")]
+
+
+def test_provisions_are_not_shuffled_for_joins(spark):
+    """Where versions are dealt already nothing is dealt again; a missing article, context below the second level, and a paragraph that comes late."""
+    more = [(12, "c1s1d1", "c1s1", "section", "제1관", "이름", ""), (13, "a9", "c1s1d1", "article", "제9조", None, "글"), (14, "a8.p1.i1", None, "item", "1.", None, "홀로"), (1, "a9.p2.i1", None, "item", "1.", None, "앞"), (15, "a9.p2", "a9", "paragraph", "②", None, "뒤")]
+    u = units(spark, rows=ROWS + more)
+    assert u["a9"]["breadcrumb"] == "여비규정 > 제1절 > 제1관 이름 > 제9조" and u["a9"]["article_text"] == "제9조\n글\n1. 앞\n② 뒤"
+    assert u["a9.p2.i1"]["context"] == "제9조 글 ② 뒤" and u["a8.p1.i1"]["context"] == "" and u["a8.p1.i1"]["article_text"] == "1.\n홀로"
+    schema = "version string, title string, ord int, path string, parent string, unit string, label string, heading string, text string"
+    dealt = spark.createDataFrame([(v, "여비규정", *r) for v in "vw" for r in ROWS], schema).repartition(4, "version")
+    d = U.search_units(dealt, F.lit(True), 30)
+    assert d.count() == 2 * len(units(spark))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(version") <= 2 and "article_path#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
